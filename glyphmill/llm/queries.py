@@ -22,6 +22,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import find_repeats
+
+    return find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -53,6 +59,7 @@ FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_byte
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_simhash": op5_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
