@@ -259,8 +259,8 @@ def predict(docs: DataFrame, model: ChainField, key: str = "doc_id", text: str =
     return rows.mapInArrow(run, f"{key} {key_type}, held_out boolean, lang_pred string, score double")
 
 
-def keep_languages(docs: DataFrame, model: ChainField, text: str = "text", min_score: float = 0.5) -> DataFrame:
-    """``docs`` without those that have no language: no letters, or no language of most words."""
+def keep_languages(docs: DataFrame, model: ChainField, text: str = "text", min_score: float = 0.3) -> DataFrame:
+    """``docs`` without those that have no language: no letters, or no language that stands out."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, cut_lineage
 from .words import Numbered, ascii_words
 
 WINDOW = 50
@@ -118,17 +118,17 @@ def _within(h: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """Arrow batches of (place, second, k, name, many).
+    """Arrow batches of (place, second, k, many).
 
     Open rows (many null) are dealt by their value; settled rows carry a list for
     one document and are dealt by it.
     """
 
     def __init__(self, key_type: pa.DataType):
-        self.schema = pa.schema([("place", pa.int64()), ("second", pa.int64()), ("k", key_type), ("name", pa.int64()), ("many", pa.list_(pa.int64()))])
+        self.schema = pa.schema([("place", pa.int64()), ("second", pa.int64()), ("k", key_type), ("many", pa.list_(pa.int64()))])
 
-    def open(self, place, second, k, name):
-        return pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(second.view(np.int64)), pa.array(k), pa.array(name.view(np.int64)), pa.nulls(len(place), pa.list_(pa.int64()))], schema=self.schema)
+    def open(self, place, second, k):
+        return pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(second.view(np.int64)), pa.array(k), pa.nulls(len(place), pa.list_(pa.int64()))], schema=self.schema)
 
     def settled(self, k, name):
         """One row for each document with the names found in it."""
@@ -139,10 +139,15 @@ class _Rows:
         owners = k[firsts]
         place = mix(owners.astype(np.int64).view(np.uint64)).view(np.int64)
         zero = np.zeros(len(owners), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(zero), pa.array(owners), pa.array(zero), pa.ListArray.from_arrays(pa.array(offsets), pa.array(name.view(np.int64)))], schema=self.schema)
+        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(zero), pa.array(owners), pa.ListArray.from_arrays(pa.array(offsets), pa.array(name.view(np.int64)))], schema=self.schema)
 
 
-def _settle_batch(rows: _Rows, h: np.ndarray, g: np.ndarray, k: np.ndarray, name: np.ndarray, every: bool):
+def _names(h: np.ndarray, g: np.ndarray, every: bool) -> np.ndarray:
+    """What a document is told: an anchor's hash, or a window's name."""
+    return h if every else _within(h, g)
+
+
+def _settle_batch(rows: _Rows, h: np.ndarray, g: np.ndarray, k: np.ndarray, every: bool):
     """Split one batch's (value, document) pairs into open and settled rows.
 
     ``every``: a value that two documents hold is settled for both; else for all but
@@ -151,10 +156,10 @@ def _settle_batch(rows: _Rows, h: np.ndarray, g: np.ndarray, k: np.ndarray, name
     if not len(h):
         return
     order = np.lexsort((k, g, h))
-    h, g, k, name = h[order], g[order], k[order], name[order]
+    h, g, k = h[order], g[order], k[order]
     new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
     again = ~new & (k == np.roll(k, 1))
-    h, g, k, name, new = h[~again], g[~again], k[~again], name[~again], new[~again]
+    h, g, k, new = h[~again], g[~again], k[~again], new[~again]
     first = np.flatnonzero(new)
     if every:
         lone = np.append(first[1:], len(h)) - first == 1
@@ -162,9 +167,9 @@ def _settle_batch(rows: _Rows, h: np.ndarray, g: np.ndarray, k: np.ndarray, name
         known[first[lone]] = False
     else:
         known = ~new
-    yield rows.open(h[first], g[first], k[first], name[first])
+    yield rows.open(h[first], g[first], k[first])
     if known.any():
-        yield rows.settled(k[known], name[known])
+        yield rows.settled(k[known], _names(h[known], g[known], every))
 
 
 def _decide(rows: _Rows, every: bool):
@@ -182,7 +187,8 @@ def _decide(rows: _Rows, every: bool):
                 batch = batch.filter(pa.array(is_open))
             if not batch.num_rows:
                 continue
-            p, s, k, name = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "second", "k", "name"))
+            p, s, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "second", "k"))
+            name = _names(p.view(np.uint64), s.view(np.uint64), every).view(np.int64)
             new = np.append(True, (p[1:] != p[:-1]) | (s[1:] != s[:-1]))
             same = current is not None and (p[0], s[0]) == current[:2]
             group = np.cumsum(new) - 1
@@ -222,10 +228,11 @@ def _decide(rows: _Rows, every: bool):
 def _by_document(rows: DataFrame, rows_spec: _Rows, every: bool, key_type: str) -> DataFrame:
     """(k, many): what was found in each document, from open and settled rows."""
     decided = rows.repartition("place", "second").sortWithinPartitions("place", "second", "k").mapInArrow(_decide(rows_spec, every), f"k {key_type}, many array<bigint>")
-    return decided.groupBy("k").agg(F.flatten(F.collect_list("many")).alias("many"))
+    # Cut here: what was shuffled to decide is not kept while texts move.
+    return cut_lineage(decided.groupBy("k").agg(F.flatten(F.collect_list("many")).alias("many")))
 
 
-_ROW_SCHEMA = "place bigint, second bigint, k {0}, name bigint, many array<bigint>"
+_ROW_SCHEMA = "place bigint, second bigint, k {0}, many array<bigint>"
 
 
 def _repeats(rows: DataFrame, window: int) -> DataFrame:
@@ -242,7 +249,7 @@ def _repeats(rows: DataFrame, window: int) -> DataFrame:
                 n = ascii_words(batch.column("t"))
                 h, owner, _ = _anchors(n, word_values(n), window)
                 k = batch.column("k").to_numpy(zero_copy_only=False)[owner]
-                yield from _settle_batch(spec, h, np.zeros_like(h), k, h, every=True)
+                yield from _settle_batch(spec, h, np.zeros_like(h), k, every=True)
 
     def windows(batches):
         period = period_for(window)
@@ -269,7 +276,7 @@ def _repeats(rows: DataFrame, window: int) -> DataFrame:
                 a, b = _windows(values, window)
                 owner = np.searchsorted(n.offsets, starts, side="right") - 1
                 k = batch.column("k").to_numpy(zero_copy_only=False)[owner]
-                yield from _settle_batch(spec, a[starts], b[starts], k, _within(a[starts], b[starts]), every=False)
+                yield from _settle_batch(spec, a[starts], b[starts], k, every=False)
 
     candidates = _by_document(rows.mapInArrow(anchors, schema), spec, True, key_type)
     around = rows.join(candidates, "k").select("k", "t", "many")
