@@ -49,6 +49,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flac import encode_media, media_features
+
+    return media_features(encode_media(table(spark, sf_dir, "documents")))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language_id
 
@@ -84,6 +90,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_flac": op6_flac,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
