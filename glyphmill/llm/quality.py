@@ -59,8 +59,8 @@ class Layout:
     chunk_start: np.ndarray  # first chunk of each text
 
 
-def echoes(data: np.ndarray) -> np.ndarray:
-    """Where a byte equals the byte at the same place of the word before."""
+def echoes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where a byte equals the byte at the same place of the word before, in texts that begin at ``begin``."""
     n = len(data)
     if not n:
         return np.zeros(0, np.float32)
@@ -69,9 +69,11 @@ def echoes(data: np.ndarray) -> np.ndarray:
     if len(start) < 2:
         return np.zeros(n, np.float32)
     word = np.searchsorted(start, np.arange(n), side="right") - 1
+    owner = np.searchsorted(begin, start, side="right")
+    follows = np.append(False, owner[1:] == owner[:-1])[np.maximum(word, 0)]
     shift = np.append(0, np.diff(start))[np.maximum(word, 0)]
     back = np.arange(n) - shift
-    return ((word > 0) & ~space & (data == data[np.maximum(back, 0)])).astype(np.float32)
+    return ((word >= 0) & follows & ~space & (data == data[np.maximum(back, 0)])).astype(np.float32)
 
 
 def lay_out(texts: list[bytes]) -> Layout:
@@ -97,7 +99,7 @@ def lay_out(texts: list[bytes]) -> Layout:
     chunk_start = np.concatenate([[0], np.cumsum(chunks)])
     chunk_a = np.arange(chunk_start[-1]) - np.repeat(chunk_start[:-1], chunks) + np.repeat(half_first[:-1], chunks)
     chunk_b = np.minimum(chunk_a + 1, np.repeat(half_first[1:] - 1, chunks))
-    return Layout(data, echoes(data), block_text, blocks, half_start, half_size, chunk_a, chunk_b, chunk_start[:-1])
+    return Layout(data, echoes(data, first[:-1] * STRIDE), block_text, blocks, half_start, half_size, chunk_a, chunk_b, chunk_start[:-1])
 
 
 class ByteConvNet:
