@@ -31,8 +31,10 @@ from .common import bounded_rows, byte_slices, is_held_out
 from .decontamination import normal_words
 
 BITS = 20
-SAMPLE_ROWS = 6000
-SAMPLE_TEXT_BYTES = 8000
+SAMPLE_ROWS = 4000
+SAMPLE_TEXT_BYTES = 6000
+#: Texts whose features are made at once in training.
+FIT_TEXTS = 200
 EPOCHS = 3
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2.  One text moves a slot by
 #: less than 1 an epoch, so with L1 = epochs a feature of one text alone stays at zero.
@@ -111,14 +113,17 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
     if not len(texts) or len(set(labels.tolist())) < 2:
         p = (np.sum(labels) + 1) / (len(labels) + 2)
         return Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(p / (1 - p))))
-    owner, slots = features(pa.array(texts, pa.string()))
-    pairs = np.unique(owner.astype(np.int64) << BITS | slots)
-    owner, slots = pairs >> BITS, pairs & ((1 << BITS) - 1)
-    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+    distinct: list[np.ndarray] = []  # the slots of each text
+    for i in range(0, len(texts), FIT_TEXTS):
+        some = texts[i : i + FIT_TEXTS]
+        owner, slots = features(pa.array(some, pa.string()))
+        pairs = np.unique(owner.astype(np.int64) << BITS | slots)
+        cuts = np.searchsorted(pairs >> BITS, np.arange(1, len(some)))
+        distinct += np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), cuts)
     model, order = Ftrl(), np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(texts)).tolist():
-            model.learn(slots[ends[i] : ends[i + 1]], float(labels[i]))
+            model.learn(distinct[i], float(labels[i]))
     return model.sparse()
 
 
