@@ -34,18 +34,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+    """Write ``df`` to the shared checkpoint folder and continue from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The shuffle files behind it are then unreachable; Spark deletes them once the
-    driver's JVM has collected its garbage, so that is asked for here.
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more.
+
+    It does so once the driver's JVM has collected its garbage, which may be long
+    after; call this between steps, when the frames before a cut are out of scope.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
 
 
 def fold(key: str | Column, modulus: int) -> Column:

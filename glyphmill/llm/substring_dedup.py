@@ -11,11 +11,10 @@ every full window around a shared anchor; pass three removes words.  Each pass
 reads texts once and sends on hashes and ids.
 
 A value that very many documents hold is settled where it is read: a batch keeps
-for itself what its own documents already decide and sends one row for the value,
-so a hot value costs a row for each batch, not for each document.  The rest is
-sorted by value and streamed; no group is ever held.
+for itself what its own documents already decide and sends one pair for the value,
+so a hot value costs a pair for each ``PAIRS`` pairs read, not for each document.
 
-Anchor hashes are 64 bits and only choose candidates; windows are compared by 128.
+Anchor hashes are 64 bits and only choose candidates; windows are compared by 96.
 
 Defined results: null text has no words; rows with a null id are left as they are
 and affect nothing; rows that repeat an id count as one document; an empty table
@@ -32,13 +31,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import byte_slices, cut_lineage
+from .common import SLICE_BYTES, byte_slices, cut_lineage, parallel_partitions, release
 from .words import Numbered, ascii_words
 
 WINDOW = 50
+#: Pairs of hash and document that a task holds before it sends them on.
+PAIRS = 1 << 20
 #: Perfect difference sets, by period.
 COVERS = {
     1: (0,),
@@ -109,37 +112,54 @@ def _anchors(n: Numbered, values: np.ndarray, window: int) -> tuple[np.ndarray,
 
 
 def _windows(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    return mix(rolling(values, window, BASES[0])), mix(rolling(values, window, BASES[1]))
+    return mix(rolling(values, window, BASES[0])), (mix(rolling(values, window, BASES[1])) >> np.uint64(32)).astype(np.uint32)
 
 
 def _within(h: np.ndarray, g: np.ndarray) -> np.ndarray:
     """The 64-bit name of a window inside one document."""
-    return mix(h ^ (g * np.uint64(3)))
+    return mix(h ^ mix(g.astype(np.uint64)))
 
 
 class _Rows:
-    """Arrow batches of (place, second, k, many).
+    """Arrow rows (bucket, pairs, k, many) of the two kinds that are dealt out by bucket.
 
-    Open rows (many null) are dealt by their value; settled rows carry a list for
-    one document and are dealt by it.
+    Open rows hold a block of (hash, second hash, document) pairs of one bucket, packed
+    column by column: a shuffle of few large rows costs a fraction of one of many small
+    rows.  Settled rows carry what was found in one document.
     """
 
-    def __init__(self, key_type: pa.DataType):
-        self.schema = pa.schema([("place", pa.int64()), ("second", pa.int64()), ("k", key_type), ("many", pa.list_(pa.int64()))])
-
-    def open(self, place, second, k):
-        return pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(second.view(np.int64)), pa.array(k), pa.nulls(len(place), pa.list_(pa.int64()))], schema=self.schema)
-
-    def settled(self, k, name):
-        """One row for each document with the names found in it."""
+    def __init__(self, key_type: pa.DataType, buckets: int):
+        self.buckets = buckets
+        self.key_type = key_type
+        self.schema = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary()), ("k", key_type), ("many", pa.list_(pa.int64()))])
+        self.found = pa.schema([("k", key_type), ("many", pa.list_(pa.int64()))])
+
+    def open(self, h: np.ndarray, g: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        bucket = (h % np.uint64(self.buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, h, g, k = bucket[order], h[order], g[order], k[order].astype(np.int64)
+        cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(h)]
+        pairs = [h[i:j].tobytes() + g[i:j].tobytes() + k[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
+        n = len(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(pairs, pa.binary()), pa.nulls(n, self.key_type), pa.nulls(n, pa.list_(pa.int64()))], schema=self.schema)
+
+    def unpack(self, pairs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        for p in pairs:
+            n = len(p) // 20
+            parts.append((np.frombuffer(p, np.uint64, n), np.frombuffer(p, np.uint32, n, 8 * n), np.frombuffer(p, np.int64, n, 12 * n)))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def by_document(self, k: np.ndarray, name: np.ndarray) -> tuple[pa.Array, pa.Array]:
         order = np.argsort(k, kind="stable")
         k, name = k[order], name[order]
-        firsts = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-        offsets = np.append(firsts, len(k)).astype(np.int32)
-        owners = k[firsts]
-        place = mix(owners.astype(np.int64).view(np.uint64)).view(np.int64)
-        zero = np.zeros(len(owners), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(zero), pa.array(owners), pa.ListArray.from_arrays(pa.array(offsets), pa.array(name.view(np.int64)))], schema=self.schema)
+        firsts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        return pa.array(k[firsts]).cast(self.key_type), pa.ListArray.from_arrays(pa.array(np.append(firsts, len(k)).astype(np.int32)), pa.array(name.view(np.int64)))
+
+    def settled(self, k: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        owners, many = self.by_document(k, name)
+        bucket = mix(owners.cast(pa.int64()).to_numpy().view(np.uint64)) % np.uint64(self.buckets)
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.nulls(len(owners), pa.binary()), owners, many], schema=self.schema)
 
 
 def _names(h: np.ndarray, g: np.ndarray, every: bool) -> np.ndarray:
@@ -147,114 +167,132 @@ def _names(h: np.ndarray, g: np.ndarray, every: bool) -> np.ndarray:
     return h if every else _within(h, g)
 
 
-def _settle_batch(rows: _Rows, h: np.ndarray, g: np.ndarray, k: np.ndarray, every: bool):
-    """Split one batch's (value, document) pairs into open and settled rows.
+def _groups(h: np.ndarray, g: np.ndarray, k: np.ndarray, every: bool):
+    """Sorted distinct (value, document) pairs, the first of each value, and which are decided.
 
-    ``every``: a value that two documents hold is settled for both; else for all but
-    the smallest document.  The smallest stays open for other batches.
+    ``every``: all documents of a value that two documents hold; else all but the
+    smallest document of each value.
     """
-    if not len(h):
-        return
     order = np.lexsort((k, g, h))
     h, g, k = h[order], g[order], k[order]
     new = np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]))
-    again = ~new & (k == np.roll(k, 1))
+    again = np.append(False, ~new[1:] & (k[1:] == k[:-1]))
     h, g, k, new = h[~again], g[~again], k[~again], new[~again]
     first = np.flatnonzero(new)
+    known = ~new
     if every:
-        lone = np.append(first[1:], len(h)) - first == 1
-        known = np.ones(len(h), bool)
-        known[first[lone]] = False
-    else:
-        known = ~new
+        several = np.append(first[1:], len(h)) - first > 1
+        known = known.copy()
+        known[first[several]] = True
+    return h, g, k, first, known
+
+
+def _settle(rows: _Rows, parts: list[tuple[np.ndarray, ...]], every: bool):
+    """Split what a task has read into settled rows and, one pair for each value, open rows."""
+    h, g, k = (np.concatenate(c) for c in zip(*parts, strict=True))
+    if not len(h):
+        return
+    h, g, k, first, known = _groups(h, g, k, every)
     yield rows.open(h[first], g[first], k[first])
     if known.any():
         yield rows.settled(k[known], _names(h[known], g[known], every))
 
 
+def _gather(rows: _Rows, pairs, every: bool):
+    """Collect pairs of a task's batches, ``PAIRS`` at a time, and settle them."""
+    held, count = [], 0
+    for part in pairs:
+        held.append(part)
+        count += len(part[0])
+        if count >= PAIRS:
+            yield from _settle(rows, held, every)
+            held, count = [], 0
+    if held:
+        yield from _settle(rows, held, every)
+
+
 def _decide(rows: _Rows, every: bool):
-    """Arrow function over open rows sorted by (place, second, k) mixed with settled ones: (k, many)."""
-    out = pa.schema([rows.schema.field("k"), rows.schema.field("many")])
+    """Arrow function over rows sorted by bucket: (k, many)."""
+
+    def bucket_done(pairs: list[bytes]):
+        h, g, k, _, known = _groups(*rows.unpack(pairs), every)
+        if known.any():
+            yield pa.RecordBatch.from_arrays([*rows.by_document(k[known], _names(h[known], g[known], every))], schema=rows.found)
 
     def run(batches):
-        held = None  # the first row of the current value, while it is the only document of it
-        current = None  # (place, second, first k)
+        current, held = None, []
         for batch in batches:
-            is_open = batch.column("many").is_null().to_numpy(zero_copy_only=False)
-            if not is_open.all():
-                done = batch.filter(pa.array(~is_open))
-                yield pa.RecordBatch.from_arrays([done.column("k"), done.column("many")], schema=out)
-                batch = batch.filter(pa.array(is_open))
-            if not batch.num_rows:
-                continue
-            p, s, k = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "second", "k"))
-            name = _names(p.view(np.uint64), s.view(np.uint64), every).view(np.int64)
-            new = np.append(True, (p[1:] != p[:-1]) | (s[1:] != s[:-1]))
-            same = current is not None and (p[0], s[0]) == current[:2]
-            group = np.cumsum(new) - 1
-            first_k = k[np.flatnonzero(new)]
-            if same:
-                new[0] = False
-                first_k = first_k.copy()
-                first_k[0] = current[2]
-            else:
-                held = None
-            later = k != first_k[group]
-            found_k, found_name = [k[later]], [name[later]]
-            if every:
-                # The first row of a value counts too, once another document has it.
-                shared = np.zeros(len(first_k), bool)
-                shared[group[later]] = True
-                firsts = np.flatnonzero(new)
-                firsts = firsts[shared[group[firsts]]]
-                found_k.append(k[firsts])
-                found_name.append(name[firsts])
-                if held is not None and shared[0]:
-                    found_k.append(np.array([held[0]], k.dtype))
-                    found_name.append(np.array([held[1]], np.int64))
-                    held = None
-                if len(first_k) > 1 or not same:
-                    start = np.flatnonzero(new)[-1]
-                    held = None if shared[-1] else (k[start], name[start])
-            current = (p[-1], s[-1], first_k[-1])
-            ks, names = np.concatenate(found_k), np.concatenate(found_name)
-            if len(ks):
-                done = rows.settled(ks, names)
-                yield pa.RecordBatch.from_arrays([done.column("k"), done.column("many")], schema=out)
+            is_open = batch.column("pairs").is_valid()
+            done = batch.filter(pc.invert(is_open))
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column("k"), done.column("many")], schema=rows.found)
+            batch = batch.filter(is_open)
+            for bucket, pairs in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_numpy(zero_copy_only=False), strict=True):
+                if bucket != current and held:
+                    yield from bucket_done(held)
+                    held = []
+                current = bucket
+                held.append(pairs)
+        if held:
+            yield from bucket_done(held)
 
     return run
 
 
-def _by_document(rows: DataFrame, rows_spec: _Rows, every: bool, key_type: str) -> DataFrame:
+def _by_document(rows: DataFrame, spec: _Rows, every: bool, key_type: str) -> DataFrame:
     """(k, many): what was found in each document, from open and settled rows."""
-    decided = rows.repartition("place", "second").sortWithinPartitions("place", "second", "k").mapInArrow(_decide(rows_spec, every), f"k {key_type}, many array<bigint>")
-    # Cut here: what was shuffled to decide is not kept while texts move.
+    decided = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_decide(spec, every), f"k {key_type}, many array<bigint>")
     return cut_lineage(decided.groupBy("k").agg(F.flatten(F.collect_list("many")).alias("many")))
 
 
-_ROW_SCHEMA = "place bigint, second bigint, k {0}, many array<bigint>"
+def _packed(rows: DataFrame) -> DataFrame:
+    """The text column t as Zstandard frames: texts move twice, and this halves them."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "t" else f.dataType) for f in rows.schema])
+    at = rows.columns.index("t")
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for whole in batches:
+            for batch in byte_slices(whole, "t"):
+                packed = [pack(t) for t in batch.column("t").cast(pa.binary()).to_numpy(zero_copy_only=False)]
+                yield batch.set_column(at, "t", pa.array(packed, pa.binary()))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _unpacked(batches):
+    """Batches with the text column t as text again."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for whole in batches:
+        for batch in byte_slices(whole, "t", SLICE_BYTES // 2):
+            texts = pa.array([unpack(t) for t in batch.column("t").to_numpy(zero_copy_only=False)], pa.binary()).cast(pa.string())
+            yield batch.set_column(batch.schema.get_field_index("t"), "t", texts)
 
 
 def _repeats(rows: DataFrame, window: int) -> DataFrame:
     """(k, many): names of the windows to remove in each document.  rows: (k, t) without nulls."""
     key_type = rows.schema["k"].dataType.simpleString()
-    if key_type not in ("bigint", "int", "smallint", "tinyint"):
+    arrow_types = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}
+    if key_type not in arrow_types:
         raise ValueError("the key must be an integer column")
-    spec = _Rows(pa.int64() if key_type == "bigint" else {"int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}[key_type])
-    schema = _ROW_SCHEMA.format(key_type)
+    partitions = parallel_partitions(rows.sparkSession)
+    spec = _Rows(arrow_types[key_type], partitions * max(2, min(16, 4096 // partitions)))
+    schema = f"bucket int, pairs binary, k {key_type}, many array<bigint>"
+    period = period_for(window)
 
     def anchors(batches):
-        for whole in batches:
-            for batch in byte_slices(whole, "t"):
-                n = ascii_words(batch.column("t"))
-                h, owner, _ = _anchors(n, word_values(n), window)
-                k = batch.column("k").to_numpy(zero_copy_only=False)[owner]
-                yield from _settle_batch(spec, h, np.zeros_like(h), k, every=True)
+        def pairs():
+            for whole in batches:
+                for batch in byte_slices(whole, "t"):
+                    n = ascii_words(batch.column("t"))
+                    h, owner, _ = _anchors(n, word_values(n), window)
+                    yield h, np.zeros(len(h), np.uint32), batch.column("k").to_numpy(zero_copy_only=False)[owner].astype(np.int64)
+
+        yield from _gather(spec, pairs(), every=True)
 
     def windows(batches):
-        period = period_for(window)
-        for whole in batches:
-            for batch in byte_slices(whole, "t"):
+        def pairs():
+            for batch in _unpacked(batches):
                 n = ascii_words(batch.column("t"))
                 values = word_values(n)
                 h, owner, at = _anchors(n, values, window)
@@ -269,18 +307,20 @@ def _repeats(rows: DataFrame, window: int) -> DataFrame:
                 low = n.offsets[owner] + np.maximum(at - (period - 1), 0)
                 high = n.offsets[owner] + np.minimum(at, lengths[owner] - window)
                 ok = high >= low
-                step = np.zeros(len(values) + 1, np.int32)
-                np.add.at(step, low[ok], 1)
-                np.add.at(step, high[ok] + 1, -1)
-                starts = np.flatnonzero(np.cumsum(step)[:-1] > 0)
+                step = np.bincount(low[ok], minlength=len(values) + 1) - np.bincount(high[ok] + 1, minlength=len(values) + 1)
+                starts = np.flatnonzero(np.cumsum(step)[: len(values)] > 0)
                 a, b = _windows(values, window)
                 owner = np.searchsorted(n.offsets, starts, side="right") - 1
-                k = batch.column("k").to_numpy(zero_copy_only=False)[owner]
-                yield from _settle_batch(spec, a[starts], b[starts], k, every=False)
+                yield a[starts], b[starts], batch.column("k").to_numpy(zero_copy_only=False)[owner].astype(np.int64)
+
+        yield from _gather(spec, pairs(), every=False)
 
     candidates = _by_document(rows.mapInArrow(anchors, schema), spec, True, key_type)
-    around = rows.join(candidates, "k").select("k", "t", "many")
-    return _by_document(around.mapInArrow(windows, schema), spec, False, key_type)
+    release(rows.sparkSession)
+    found = _by_document(_packed(rows).join(candidates, "k").select("k", "t", "many").mapInArrow(windows, schema), spec, False, key_type)
+    del candidates
+    release(rows.sparkSession)
+    return found
 
 
 def _removed(n: Numbered, values: np.ndarray, many: pa.Array, window: int) -> np.ndarray:
@@ -304,7 +344,7 @@ def _removed(n: Numbered, values: np.ndarray, many: pa.Array, window: int) -> np
 def _with_names(docs: DataFrame, key: str, text: str, window: int, *more) -> DataFrame:
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *more)
     found = _repeats(rows.where(F.col("k").isNotNull()).select("k", "t"), window)
-    return rows.join(found, "k", "left")
+    return _packed(rows).join(found, "k", "left")
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -312,19 +352,18 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        for whole in batches:
-            for batch in byte_slices(whole, "t"):
-                n = ascii_words(batch.column("t"))
-                gone = _removed(n, word_values(n), batch.column("many"), window)
-                removed = np.add.reduceat(np.append(gone, False).astype(np.int64), n.offsets[:-1]) * (np.diff(n.offsets) > 0) if batch.num_rows else []
-                digests = []
-                texts = batch.column("t").cast(pa.binary())
-                for i, t in enumerate(texts.to_numpy(zero_copy_only=False)):
-                    words = t.split()
-                    if removed[i]:
-                        words = [w for w, g in zip(words, gone[n.offsets[i] : n.offsets[i + 1]].tolist(), strict=True) if not g]
-                    digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(np.diff(n.offsets)), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=[key, "n_words", "n_removed", "kept_sha256"])
+        for batch in _unpacked(batches):
+            n = ascii_words(batch.column("t"))
+            gone = _removed(n, word_values(n), batch.column("many"), window)
+            removed = np.add.reduceat(np.append(gone, False).astype(np.int64), n.offsets[:-1]) * (np.diff(n.offsets) > 0) if batch.num_rows else []
+            digests = []
+            texts = batch.column("t").cast(pa.binary())
+            for i, t in enumerate(texts.to_numpy(zero_copy_only=False)):
+                words = t.split()
+                if removed[i]:
+                    words = [w for w, g in zip(words, gone[n.offsets[i] : n.offsets[i + 1]].tolist(), strict=True) if not g]
+                digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(np.diff(n.offsets)), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=[key, "n_words", "n_removed", "kept_sha256"])
 
     return _with_names(docs, key, text, window).mapInArrow(run, f"{key} {key_type}, n_words bigint, n_removed bigint, kept_sha256 string")
 
@@ -345,22 +384,21 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", windo
     """``docs`` without repeated words; documents of which nothing is left go."""
     others = [c for c in docs.columns if c != text]
     rows = _with_names(docs, key, text, window, F.struct(*others, F.col(text).isNull().alias(".null")).alias("doc"))
-    schema = rows.select("doc", "t").schema
+    schema = T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("t", T.StringType())])
 
     def run(batches):
-        for whole in batches:
-            for batch in byte_slices(whole, "t"):
-                n = ascii_words(batch.column("t"))
-                gone = _removed(n, word_values(n), batch.column("many"), window)
-                texts, keep = batch.column("t").to_numpy(zero_copy_only=False).tolist(), np.ones(batch.num_rows, bool)
-                if gone.any():
-                    for i in range(batch.num_rows):
-                        own = gone[n.offsets[i] : n.offsets[i + 1]]
-                        if own.any():
-                            texts[i] = without_words(texts[i], own.tolist())
-                            keep[i] = not own.all()
-                out = pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], names=["doc", "t"])
-                yield out.filter(pa.array(keep))
+        for batch in _unpacked(batches):
+            n = ascii_words(batch.column("t"))
+            gone = _removed(n, word_values(n), batch.column("many"), window)
+            texts, keep = batch.column("t").to_numpy(zero_copy_only=False).tolist(), np.ones(batch.num_rows, bool)
+            if gone.any():
+                for i in range(batch.num_rows):
+                    own = gone[n.offsets[i] : n.offsets[i + 1]]
+                    if own.any():
+                        texts[i] = without_words(texts[i], own.tolist())
+                        keep[i] = not own.all()
+            out = pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], names=["doc", "t"])
+            yield out.filter(pa.array(keep))
 
     done = rows.select("doc", "t", "many").mapInArrow(run, schema)
     new = F.when(~F.col("doc.`.null`"), F.col("t"))

@@ -53,8 +53,7 @@ def test_rolling_hash_depends_on_its_run_only():
 
 
 @pytest.mark.parametrize("window,partitions", [(1, 3), (5, 1), (8, 4), (50, 4)])
-def test_against_all_windows(spark, window, partitions, monkeypatch):
-    monkeypatch.setattr("glyphmill.llm.common.SLICE_BYTES", 300)
+def test_against_all_windows(spark, window, partitions):
     rng = random.Random(window)
     texts = [None, "", " \n\t", "a", "a " * 70, "a " * 20_000]
     shared = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(4)) for _ in range(window + rng.randrange(12))) for _ in range(6)]
