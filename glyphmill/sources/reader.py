@@ -30,6 +30,15 @@ def positions_of(terms: Column, term: str) -> Column:
     return F.filter(F.transform(terms, lambda t, i: F.when(t == term, i)), lambda p: p.isNotNull())
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """The same rows, with their columns computed before anything above uses them.
+
+    The optimizer would copy an analyzed field into each expression that names it,
+    inner loops of phrases included; a generator of one row stops that.
+    """
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
 class TextSource:
     """Documents whose fields are analyzed as they are read.
 
@@ -49,7 +58,8 @@ class TextSource:
     def _analyzed(self, fields: list[str], columns: list[str]) -> DataFrame:
         kept = [self.key, *dict.fromkeys(c for c in columns if c != self.key)]
         boost = F.col(self.boost) if self.boost else F.lit(1.0)
-        return self.docs.select(*kept, *(self._terms(f).alias(f"terms_{f}") for f in fields), boost.alias("doc_boost"))
+        rows = self.docs.select(*kept, *(self._terms(f).alias(f"terms_{f}") for f in fields), boost.alias("doc_boost"))
+        return computed_once(rows) if fields else rows
 
     def statistics(self, need: Needs) -> Statistics:
         terms = need.term_list()
@@ -78,7 +88,8 @@ class TextSource:
             out.append(kind.sim().field_norm(F.size(f"terms_{f}"), F.col("doc_boost") * F.lit(kind.boost)).alias(norm_name(f)))
         for i, (f, p) in enumerate(need.prefixes):
             out.append(F.exists(f"terms_{f}", _starting_with(p)).alias(prefix_name(i)))
-        return base.select(*out)
+        leaves = base.select(*out)
+        return computed_once(leaves) if fields else leaves
 
     def stored(self) -> DataFrame:
         return self.docs
