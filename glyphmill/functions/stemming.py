@@ -197,7 +197,49 @@ def swedish(word: str) -> str:
     return w
 
 
-STEMMERS = {"en": english, "de": german, "sv": swedish}
+#: Endings of the first step of the Danish and Norwegian stemmers.
+_DA = tuple("hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret".split())
+_NO = tuple("a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast".split())
+
+
+def _undouble(word: str, r1: int, pairs: tuple[str, ...]) -> str:
+    return word[:-1] if word.endswith(pairs) and len(word) - 2 >= r1 else word
+
+
+def danish(word: str) -> str:
+    v, pairs = "aeiouyæåø", ("gd", "dt", "gt", "kt")
+    w, r1 = _nordic(word, v, _DA, "abcdfghjklmnoprtvyzå")
+    w = _undouble(w, r1, pairs)
+    if w.endswith("igst"):
+        w = w[:-2]
+    for end in ("elig", "løst", "lig", "els", "ig"):
+        if w.endswith(end) and len(w) - len(end) >= r1:
+            w = w[:-1] if end == "løst" else _undouble(w[: -len(end)], r1, pairs)
+            break
+    if len(w) > r1 and len(w) > 1 and w[-1] == w[-2] and w[-1] not in v:
+        w = w[:-1]
+    return w
+
+
+def norwegian(word: str) -> str:
+    v = "aeiouyæåø"
+    r1 = max(_regions(word, v)[0], min(3, len(word)))
+    w = word
+    for end in sorted((*_NO, "erte", "ert"), key=len, reverse=True):
+        if w.endswith(end) and len(w) - len(end) >= r1:
+            w = w[: -len(end)] + ("er" if end in ("erte", "ert") else "")
+            break
+    else:
+        if w.endswith("s") and len(w) - 1 >= r1 and len(w) > 1 and (w[-2] in "bcdfghjlmnoprtvyz" or (w[-2] == "k" and len(w) > 2 and w[-3] not in v)):
+            w = w[:-1]
+    w = _undouble(w, r1, ("dt", "vt"))
+    for end in ("hetslov", "eleg", "elig", "elov", "slov", "leg", "eig", "lig", "els", "lov", "ig"):
+        if w.endswith(end) and len(w) - len(end) >= r1:
+            return w[: -len(end)]
+    return w
+
+
+STEMMERS = {"en": english, "de": german, "sv": swedish, "da": danish, "no": norwegian}
 
 
 @lru_cache(1 << 17)

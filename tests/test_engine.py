@@ -356,3 +356,20 @@ def test_plan_of_text_search_has_one_scan_and_no_join(spark):
     df = Searcher(TextSource(frame(spark, SEVEN), schema())).top_docs("a AND (b OR c) -d", 5)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "TakeOrderedAndProject" in plan
+
+
+def test_flat_parser(spark):
+    from glyphmill.plans.parser import FlatQueryParser
+
+    fields = schema()
+    parser = FlatQueryParser(fields)
+    assert str(parser.parse('a fo* "b c"')) == '(content:a OR content:fo* OR content:"b c")'
+    assert isinstance(parser.parse(""), NoMatchQuery)
+    assert Searcher(TextSource(frame(spark, SEVEN), fields), parser).total_hits("fo* z") == 2
+
+
+@pytest.mark.parametrize("language,word,stem", [("de", "häuser", "haus"), ("de", "aufgabenstellungen", "aufgabenstell"), ("sv", "jaktkarlarne", "jaktkarl"), ("da", "undersøgelserne", "undersøg"), ("no", "havnemyndighetene", "havnemynd")])
+def test_other_stems(language, word, stem):
+    from glyphmill.functions.stemming import stem_word
+
+    assert stem_word(word, language) == stem
