@@ -26,6 +26,10 @@ class Analyzer:
     def apply(self, terms: Column) -> Column:
         raise NotImplementedError
 
+    def boosts(self, text: Column) -> Column:
+        """A boost for each of ``terms``, in order; override it for rich postings."""
+        return F.transform(self.terms(text), lambda t: F.lit(1.0))
+
     def split(self, text: str) -> list[str]:
         return [t for t, _, _ in self.spans([(text, 0, len(text))])]
 

@@ -93,6 +93,10 @@ def norm_name(field_name: str) -> str:
     return f"norm_{field_name}"
 
 
+def rich_name(i: int) -> str:
+    return f"rich_{i}"
+
+
 def prefix_name(i: int) -> str:
     return f"prefix_{i}"
 
@@ -226,8 +230,12 @@ class Compiler:
         if not self._alive(q):
             return F.lit(0.0)
         if isinstance(q, TermQuery | PhraseQuery | ProximityQuery):
-            sim = self._sim(q.field)
-            return sim.tf(self._frequency(q)) * F.lit(self._weight(q, boost)) * F.coalesce(F.col(norm_name(q.field)), F.lit(0.0))
+            kind, weight = self.schema.type_of(q.field), F.lit(self._weight(q, boost))
+            if kind.posting == "match":
+                return weight
+            first = q.term if isinstance(q, TermQuery) else q.terms[0]
+            norm = rich_name(self._index[(q.field, first)]) if kind.posting == "rich" else norm_name(q.field)
+            return kind.sim().tf(self._frequency(q)) * weight * F.coalesce(F.col(norm), F.lit(0.0))
         if isinstance(q, PrefixQuery):
             return F.lit(1.0)
         if isinstance(q, MatchAllQuery):

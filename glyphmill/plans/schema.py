@@ -22,6 +22,9 @@ class FieldType:
     sortable: bool = False
     highlightable: bool = False
     similarity: str = "default"
+    #: What a posting counts for: "score" by frequency and length, "match" by its weight
+    #: alone, "rich" by the mean of the boosts that the analyzer gives to its positions.
+    posting: str = "score"
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -30,6 +33,8 @@ class FieldType:
             raise ValueError("a full-text field needs an analyzer")
         if self.kind == "blob" and (self.sortable or self.indexed):
             raise ValueError("a blob can neither be sorted nor indexed")
+        if self.posting not in ("score", "match", "rich"):
+            raise ValueError(f"unknown posting {self.posting!r}")
         if self.highlightable and self.kind != "text":
             raise ValueError("only full-text fields can be highlighted")
 

@@ -127,7 +127,7 @@ def latest(folder: Folder) -> Manifest | None:
 def invert(docs: DataFrame, schema: Schema, key: str, boost: str | None = None) -> DataFrame:
     """Postings (field, term, key, tf, norm, positions) of every indexed field of ``docs``."""
     key_type = docs.schema[key].dataType
-    out_schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField(key, key_type), T.StructField("tf", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("doc_boost", T.DoubleType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    out_schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField(key, key_type), T.StructField("tf", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("doc_boost", T.DoubleType()), T.StructField("mean_boost", T.DoubleType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
     names = [f.name for f in out_schema]
 
     def run(batches):
@@ -145,8 +145,11 @@ def invert(docs: DataFrame, schema: Schema, key: str, boost: str | None = None)
             first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
             ends = np.append(first, len(codes)).astype(np.int32)
             rows = pa.array(owner[first])
+            boosts = batch.column("boosts").flatten().to_numpy(zero_copy_only=False)
+            # Field by field all rows have boosts or none has.
+            means = pa.array(np.add.reduceat(boosts[order], first) / np.diff(ends)) if len(boosts) else pa.nulls(len(first), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("field").take(rows), encoded.dictionary.take(pa.array(codes[first])), batch.column(key).take(rows), pa.array(np.diff(ends)), pa.array(lengths[owner[first]].astype(np.int32)), batch.column("doc_boost").take(rows), pa.ListArray.from_arrays(pa.array(ends), pa.array(position))],
+                [batch.column("field").take(rows), encoded.dictionary.take(pa.array(codes[first])), batch.column(key).take(rows), pa.array(np.diff(ends)), pa.array(lengths[owner[first]].astype(np.int32)), batch.column("doc_boost").take(rows), means, pa.ListArray.from_arrays(pa.array(ends), pa.array(position))],
                 names=names,
             )
 
@@ -154,9 +157,9 @@ def invert(docs: DataFrame, schema: Schema, key: str, boost: str | None = None)
     for name in schema.searchable():
         kind = schema.fields[name]
         terms = kind.analyzer.terms(F.col(name)) if kind.kind == "text" else F.array(F.col(name).cast("string"))
-        rows = docs.where(F.col(name).isNotNull()).select(F.lit(name).alias("field"), key, (F.col(boost) if boost else F.lit(1.0)).cast("double").alias("doc_boost"), terms.alias("terms"))
+        rows = docs.where(F.col(name).isNotNull()).select(F.lit(name).alias("field"), key, (F.col(boost) if boost else F.lit(1.0)).cast("double").alias("doc_boost"), terms.alias("terms"), (kind.analyzer.boosts(F.col(name)) if kind.posting == "rich" else F.lit(None)).cast("array<double>").alias("boosts"))
         postings = rows.mapInArrow(run, out_schema)
-        norm = kind.sim().field_norm(F.col("n_tokens"), F.col("doc_boost") * F.lit(kind.boost))
+        norm = F.coalesce(F.col("mean_boost") * F.lit(kind.boost), kind.sim().field_norm(F.col("n_tokens"), F.col("doc_boost") * F.lit(kind.boost)))
         parts.append(postings.select("field", "term", key, "tf", norm.alias("norm"), "positions"))
     return functools.reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], f"field string, term string, {key} {key_type.simpleString()}, tf int, norm double, positions array<int>")
 

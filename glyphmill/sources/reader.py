@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.plans.compiler import Compiler, Needs, Statistics, norm_name, positions_name, prefix_name, tf_name
+from glyphmill.plans.compiler import Compiler, Needs, Statistics, norm_name, positions_name, prefix_name, rich_name, tf_name
 from glyphmill.plans.schema import Schema
 
 #: Terms whose document frequencies one aggregate counts.
@@ -39,6 +39,12 @@ def computed_once(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
 
 
+def mean_boost(terms: Column, boosts: Column, term: str) -> Column:
+    """Mean boost of the positions of a term; null where it does not stand."""
+    own = F.filter(F.transform(terms, lambda t, i: F.when(t == term, F.get(boosts, i))), lambda b: b.isNotNull())
+    return F.aggregate(own, F.lit(0.0), lambda s, b: s + b.cast("double")) / F.when(F.size(own) > 0, F.size(own))
+
+
 class TextSource:
     """Documents whose fields are analyzed as they are read.
 
@@ -58,7 +64,8 @@ class TextSource:
     def _analyzed(self, fields: list[str], columns: list[str]) -> DataFrame:
         kept = [self.key, *dict.fromkeys(c for c in columns if c != self.key)]
         boost = F.col(self.boost) if self.boost else F.lit(1.0)
-        rows = self.docs.select(*kept, *(self._terms(f).alias(f"terms_{f}") for f in fields), boost.alias("doc_boost"))
+        boosts = [self.schema.type_of(f).analyzer.boosts(F.col(f)).alias(f"boosts_{f}") for f in fields if self.schema.type_of(f).posting == "rich"]
+        rows = self.docs.select(*kept, *(self._terms(f).alias(f"terms_{f}") for f in fields), *boosts, boost.alias("doc_boost"))
         return computed_once(rows) if fields else rows
 
     def statistics(self, need: Needs) -> Statistics:
@@ -83,6 +90,9 @@ class TextSource:
             out.append(F.size(F.filter(f"terms_{f}", _equal_to(t))).alias(tf_name(i)))
             if need.terms[(f, t)]:
                 out.append(positions_of(F.col(f"terms_{f}"), t).alias(positions_name(i)))
+            kind = self.schema.type_of(f)
+            if kind.posting == "rich":
+                out.append((mean_boost(F.col(f"terms_{f}"), F.col(f"boosts_{f}"), t) * F.lit(kind.boost)).alias(rich_name(i)))
         for f in need.fields():
             kind = self.schema.type_of(f)
             out.append(kind.sim().field_norm(F.size(f"terms_{f}"), F.col("doc_boost") * F.lit(kind.boost)).alias(norm_name(f)))
@@ -111,6 +121,7 @@ def gathered(postings: DataFrame, need: Needs, key: str = "doc_id") -> DataFrame
         aggs.append(F.max(F.when(here, F.col("tf"))).alias(tf_name(i)))
         if need.terms[(f, t)]:
             aggs.append(F.max(F.when(here, F.col("positions"))).alias(positions_name(i)))
+        aggs.append(F.max(F.when(here, F.col("norm"))).alias(rich_name(i)))
     for f in need.fields():
         aggs.append(F.max(F.when(F.col("field") == f, F.col("norm"))).alias(norm_name(f)))
     for i, (f, p) in enumerate(need.prefixes):

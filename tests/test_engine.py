@@ -373,3 +373,37 @@ def test_other_stems(language, word, stem):
     from glyphmill.functions.stemming import stem_word
 
     assert stem_word(word, language) == stem
+
+
+class Shouting(Tokenizer):
+    """Upper-case words weigh three times as much."""
+
+    def __init__(self):
+        super().__init__(r"\S+")
+
+    def terms(self, text):
+        from pyspark.sql import functions as F
+
+        return F.transform(super().terms(text), F.lower)
+
+    def boosts(self, text):
+        from pyspark.sql import functions as F
+
+        return F.transform(super().terms(text), lambda t: F.when(t == F.upper(t), F.lit(3.0)).otherwise(F.lit(1.0)))
+
+    def spans(self, tokens):
+        return [(t.lower(), a, b) for t, a, b in super().spans(tokens)]
+
+
+@pytest.mark.parametrize("kind", ["texts", "index"])
+def test_posting_kinds(spark, tmp_path, kind):
+    texts = ["a x", "A x x x x", "A a", "b"]
+    rich = Schema().spec_field("content", full_text(Shouting(), posting="rich"))
+    # The stored schema names the plain tokenizer, which is all that a query needs.
+    scores = {r.doc_id: r.score for r in Searcher(source(kind, spark, tmp_path, rich, frame(spark, texts))).collect(TermQuery("content", "a")).collect()}
+    w = 1 + math.log(4 / 4)
+    assert scores == {0: pytest.approx(w), 1: pytest.approx(3 * w), 2: pytest.approx(math.sqrt(2) * 2 * w)}
+    match = Schema().spec_field("content", full_text(Shouting(), posting="match"))
+    assert len({r.score for r in Searcher(source(kind, spark, tmp_path, match, frame(spark, texts))).collect(TermQuery("content", "a")).collect()}) == 1
+    with pytest.raises(ValueError):
+        full_text(PLAIN, posting="odd")
