@@ -239,7 +239,87 @@ def norwegian(word: str) -> str:
     return w
 
 
-STEMMERS = {"en": english, "de": german, "sv": swedish, "da": danish, "no": norwegian}
+#: Pronouns that Spanish verbs take on, and endings of verbs.
+_ES_PRONOUNS = tuple("selas selos sela selo las les los nos me se la le lo".split())
+_ES_VERBS = tuple(
+    (
+        "arían arías arán arás aríais aría aréis aríamos aremos ará aré erían erías erán erás eríais ería eréis eríamos eremos erá eré "
+        "irían irías irán irás iríais iría iréis iríamos iremos irá iré aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían "
+        "aran ieran asen iesen aron ieron ado ido ando iendo ió ar er ir as abas adas idas ías aras ieras ases ieses ís áis abais íais "
+        "arais ierais aseis ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos iésemos ásemos"
+    ).split()
+)
+#: Noun and adjective endings, those that may follow "ic", and endings replaced.
+_ES_PLAIN = tuple("anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos".split())
+_ES_AFTER_IC = tuple("adora ador ación adoras adores aciones ante antes ancia ancias".split())
+_ES_REPLACED = {"logía": "log", "logías": "log", "ución": "u", "uciones": "u", "encia": "ente", "encias": "ente"}
+
+
+def _longest(word: str, ends) -> str:
+    return max((e for e in ends if word.endswith(e)), key=len, default="")
+
+
+def spanish(word: str) -> str:
+    v = "aeiouáéíóúü"
+    w = word
+    r1, r2 = _regions(w, v)
+    if len(w) < 3:
+        rv = len(w)
+    elif w[1] not in v:
+        rv = next((i + 1 for i in range(2, len(w)) if w[i] in v), len(w))
+    elif w[0] in v:
+        rv = next((i + 1 for i in range(2, len(w)) if w[i] not in v), len(w))
+    else:
+        rv = 3
+    plain = str.maketrans("áéíóú", "aeiou")
+
+    def cut(end: str, region: int) -> bool:
+        return bool(end) and w.endswith(end) and len(w) - len(end) >= region
+
+    pronoun = _longest(w, _ES_PRONOUNS)
+    if pronoun and len(w) - len(pronoun) >= rv:
+        base = w[: -len(pronoun)]
+        accented = _longest(base, ("iéndo", "ándo", "ár", "ér", "ír"))
+        bare = _longest(base, ("ando", "iendo", "ar", "er", "ir"))
+        if accented and len(base) - len(accented) >= rv:
+            w = base[: -len(accented)] + accented.translate(plain)
+        elif (bare and len(base) - len(bare) >= rv) or (base.endswith("uyendo") and len(base) - 5 >= rv):
+            w = base
+    before = w
+    end = _longest(w, (*_ES_PLAIN, *_ES_AFTER_IC, *_ES_REPLACED, "amente", "mente", "idad", "idades", "iva", "ivo", "ivas", "ivos"))
+    if end == "amente":
+        if cut(end, r1):
+            w = w[: -len(end)]
+            if cut("iv", r2):
+                w = w[:-2]
+                w = w[:-2] if cut("at", r2) else w
+            else:
+                more = _longest(w, ("os", "ic", "ad"))
+                w = w[: -len(more)] if cut(more, r2) else w
+    elif cut(end, r2):
+        w = w[: -len(end)] + _ES_REPLACED.get(end, "")
+        follow = ("ic",) if end in _ES_AFTER_IC else ("ante", "able", "ible") if end == "mente" else ("abil", "ic", "iv") if end.startswith("idad") else ("at",) if end.startswith("iv") else ()
+        more = _longest(w, follow)
+        w = w[: -len(more)] if cut(more, r2) else w
+    if w == before:
+        end = _longest(w, tuple("yeron yendo yamos yais yan yen yas yes ya ye yo yó".split()))
+        if cut(end, rv) and w[: -len(end)].endswith("u"):
+            w = w[: -len(end)]
+        else:
+            end = _longest(w, (*_ES_VERBS, "en", "es", "éis", "emos"))
+            if cut(end, rv):
+                w = w[: -len(end)]
+                if end in ("en", "es", "éis", "emos") and w.endswith("gu"):
+                    w = w[:-1]
+    end = _longest(w, ("os", "a", "o", "á", "í", "ó", "e", "é"))
+    if cut(end, rv):
+        w = w[: -len(end)]
+        if end in "eé" and w.endswith("gu") and len(w) - 1 >= rv:
+            w = w[:-1]
+    return w.translate(plain)
+
+
+STEMMERS = {"en": english, "de": german, "es": spanish, "sv": swedish, "da": danish, "no": norwegian}
 
 
 @lru_cache(1 << 17)
