@@ -39,6 +39,8 @@ SAMPLE_ROWS = 250
 SAMPLE_CHARS = 3000
 ROUNDS = 40
 UNKNOWN = "und"
+#: Text bytes labelled at once: features take some hundred bytes for each.
+SLICE = 2 << 20
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +252,7 @@ def predict(docs: DataFrame, model: ChainField, key: str = "doc_id", text: str =
     def run(batches):
         names = np.array([*shared.value.languages, UNKNOWN], object)
         for whole in batches:
-            for batch in byte_slices(whole, "t"):
+            for batch in byte_slices(whole, "t", SLICE):
                 best, score = shared.value.label_batch(batch.column("t"))
                 yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("held_out"), pa.array(names[best], pa.string()), pa.array(score)], names=[key, "held_out", "lang_pred", "score"])
 
@@ -265,7 +267,7 @@ def keep_languages(docs: DataFrame, model: ChainField, text: str = "text", min_s
 
     def run(batches):
         for whole in batches:
-            for batch in byte_slices(whole, text):
+            for batch in byte_slices(whole, text, SLICE):
                 best, score = shared.value.label_batch(pc.fill_null(batch.column(text), ""))
                 yield batch.filter(pa.array((best >= 0) & (score >= min_score)))
 
