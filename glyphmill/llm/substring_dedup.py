@@ -42,6 +42,9 @@ from .words import Numbered, ascii_words
 WINDOW = 50
 #: Pairs of hash and document that a task holds before it sends them on.
 PAIRS = 1 << 20
+#: Each task sends one block to each bucket, so more buckets mean smaller blocks; a
+#: bucket is what is sorted at once.
+BUCKETS_A_PARTITION = 3
 #: Perfect difference sets, by period.
 COVERS = {
     1: (0,),
@@ -276,7 +279,7 @@ def _repeats(rows: DataFrame, window: int) -> DataFrame:
     if key_type not in arrow_types:
         raise ValueError("the key must be an integer column")
     partitions = parallel_partitions(rows.sparkSession)
-    spec = _Rows(arrow_types[key_type], partitions * max(2, min(16, 4096 // partitions)))
+    spec = _Rows(arrow_types[key_type], partitions * BUCKETS_A_PARTITION)
     schema = f"bucket int, pairs binary, k {key_type}, many array<bigint>"
     period = period_for(window)
 
