@@ -55,6 +55,7 @@ COVERS = {
     31: (1, 5, 11, 24, 25, 27),
 }
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_ROW_SCHEMA = "bucket int, open boolean, pairs binary"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -124,45 +125,51 @@ def _within(h: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    """Arrow rows (bucket, pairs, k, many) of the two kinds that are dealt out by bucket.
+    """Arrow rows (bucket, open, pairs): blocks of pairs of one bucket, packed column by column.
 
-    Open rows hold a block of (hash, second hash, document) pairs of one bucket, packed
-    column by column: a shuffle of few large rows costs a fraction of one of many small
-    rows.  Settled rows carry what was found in one document.
+    A shuffle of few large rows costs a fraction of one of many small rows.  Open blocks
+    hold (hash, second hash, document), dealt by hash; settled ones hold (document, name)
+    of what was found, dealt by document.
     """
 
     def __init__(self, key_type: pa.DataType, buckets: int):
         self.buckets = buckets
         self.key_type = key_type
-        self.schema = pa.schema([("bucket", pa.int32()), ("pairs", pa.binary()), ("k", key_type), ("many", pa.list_(pa.int64()))])
+        self.schema = pa.schema([("bucket", pa.int32()), ("open", pa.bool_()), ("pairs", pa.binary())])
         self.found = pa.schema([("k", key_type), ("many", pa.list_(pa.int64()))])
 
-    def open(self, h: np.ndarray, g: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
-        bucket = (h % np.uint64(self.buckets)).astype(np.int32)
+    def _blocks(self, by: np.ndarray, is_open: bool, columns: list[np.ndarray]) -> pa.RecordBatch:
+        bucket = (by % np.uint64(self.buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        bucket, h, g, k = bucket[order], h[order], g[order], k[order].astype(np.int64)
-        cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(h)]
-        pairs = [h[i:j].tobytes() + g[i:j].tobytes() + k[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
-        n = len(pairs)
-        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array(pairs, pa.binary()), pa.nulls(n, self.key_type), pa.nulls(n, pa.list_(pa.int64()))], schema=self.schema)
-
-    def unpack(self, pairs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts: list[tuple[np.ndarray, ...]] = []
-        for p in pairs:
-            n = len(p) // 20
-            parts.append((np.frombuffer(p, np.uint64, n), np.frombuffer(p, np.uint32, n, 8 * n), np.frombuffer(p, np.int64, n, 12 * n)))
-        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+        bucket, columns = bucket[order], [c[order] for c in columns]
+        cuts = [*np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist(), len(by)]
+        pairs = [b"".join(c[i:j].tobytes() for c in columns) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([is_open] * len(pairs), pa.bool_()), pa.array(pairs, pa.binary())], schema=self.schema)
+
+    def open(self, h: np.ndarray, g: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        return self._blocks(h, True, [h, g, k.astype(np.int64)])
 
-    def by_document(self, k: np.ndarray, name: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    def settled(self, k: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        return self._blocks(mix(k.astype(np.int64).view(np.uint64)), False, [k.astype(np.int64), name.view(np.int64)])
+
+    @staticmethod
+    def unpack(pairs: list[bytes], kinds: tuple[type, ...]) -> tuple[np.ndarray, ...]:
+        size = sum(np.dtype(t).itemsize for t in kinds)
+        parts: list[list[np.ndarray]] = [[] for _ in kinds]
+        for p in pairs:
+            n, at = len(p) // size, 0
+            for column, t in zip(parts, kinds, strict=True):
+                column.append(np.frombuffer(p, t, n, at))
+                at += n * np.dtype(t).itemsize
+        return tuple(map(np.concatenate, parts))
+
+    def by_document(self, pairs: list[bytes]) -> pa.RecordBatch:
+        """(k, many): one row for each document of a bucket's settled blocks."""
+        k, name = self.unpack(pairs, (np.int64, np.int64))
         order = np.argsort(k, kind="stable")
         k, name = k[order], name[order]
         firsts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        return pa.array(k[firsts]).cast(self.key_type), pa.ListArray.from_arrays(pa.array(np.append(firsts, len(k)).astype(np.int32)), pa.array(name.view(np.int64)))
-
-    def settled(self, k: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
-        owners, many = self.by_document(k, name)
-        bucket = mix(owners.cast(pa.int64()).to_numpy().view(np.uint64)) % np.uint64(self.buckets)
-        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.nulls(len(owners), pa.binary()), owners, many], schema=self.schema)
+        return pa.RecordBatch.from_arrays([pa.array(k[firsts]).cast(self.key_type), pa.ListArray.from_arrays(pa.array(np.append(firsts, len(k)).astype(np.int32)), pa.array(name))], schema=self.found)
 
 
 def _names(h: np.ndarray, g: np.ndarray, every: bool) -> np.ndarray:
@@ -214,38 +221,60 @@ def _gather(rows: _Rows, pairs, every: bool):
         yield from _settle(rows, held, every)
 
 
-def _decide(rows: _Rows, every: bool):
-    """Arrow function over rows sorted by bucket: (k, many)."""
+def _by_bucket(batches):
+    """Blocks of one bucket at a time, from rows sorted by bucket."""
+    current, held = None, []
+    for batch in batches:
+        for bucket, pairs in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_numpy(zero_copy_only=False), strict=True):
+            if bucket != current and held:
+                yield held
+                held = []
+            current = bucket
+            held.append(pairs)
+    if held:
+        yield held
 
-    def bucket_done(pairs: list[bytes]):
-        h, g, k, _, known = _groups(*rows.unpack(pairs), every)
-        if known.any():
-            yield pa.RecordBatch.from_arrays([*rows.by_document(k[known], _names(h[known], g[known], every))], schema=rows.found)
+
+def _decide(rows: _Rows, every: bool):
+    """Arrow function over rows sorted by bucket: settled blocks, passed on or newly found."""
 
     def run(batches):
-        current, held = None, []
-        for batch in batches:
-            is_open = batch.column("pairs").is_valid()
-            done = batch.filter(pc.invert(is_open))
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column("k"), done.column("many")], schema=rows.found)
-            batch = batch.filter(is_open)
-            for bucket, pairs in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_numpy(zero_copy_only=False), strict=True):
-                if bucket != current and held:
-                    yield from bucket_done(held)
-                    held = []
-                current = bucket
-                held.append(pairs)
-        if held:
-            yield from bucket_done(held)
+        passed: list[pa.RecordBatch] = []
+
+        def open_only():
+            for batch in batches:
+                is_open = batch.column("open")
+                passed.append(batch.filter(pc.invert(is_open)))
+                yield batch.filter(is_open)
+
+        # What is found in the task's buckets is handed on together.
+        found, count = [], 0
+        for held in _by_bucket(open_only()):
+            yield from passed
+            passed.clear()
+            h, g, k, _, known = _groups(*rows.unpack(held, (np.uint64, np.uint32, np.int64)), every)
+            found.append((k[known], _names(h[known], g[known], every)))
+            count += len(found[-1][0])
+            if count >= PAIRS:
+                yield rows.settled(*map(np.concatenate, zip(*found, strict=True)))
+                found, count = [], 0
+        yield from passed
+        if count:
+            yield rows.settled(*map(np.concatenate, zip(*found, strict=True)))
 
     return run
 
 
 def _by_document(rows: DataFrame, spec: _Rows, every: bool, key_type: str) -> DataFrame:
     """(k, many): what was found in each document, from open and settled rows."""
-    decided = rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_decide(spec, every), f"k {key_type}, many array<bigint>")
-    return cut_lineage(decided.groupBy("k").agg(F.flatten(F.collect_list("many")).alias("many")))
+
+    def collect(batches):
+        for held in _by_bucket(batches):
+            yield spec.by_document(held)
+
+    dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    decided = dealt(rows).mapInArrow(_decide(spec, every), _ROW_SCHEMA)
+    return cut_lineage(dealt(decided).mapInArrow(collect, f"k {key_type}, many array<bigint>"))
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -280,7 +309,6 @@ def _repeats(rows: DataFrame, window: int) -> DataFrame:
         raise ValueError("the key must be an integer column")
     partitions = parallel_partitions(rows.sparkSession)
     spec = _Rows(arrow_types[key_type], partitions * BUCKETS_A_PARTITION)
-    schema = f"bucket int, pairs binary, k {key_type}, many array<bigint>"
     period = period_for(window)
 
     def anchors(batches):
@@ -318,9 +346,9 @@ def _repeats(rows: DataFrame, window: int) -> DataFrame:
 
         yield from _gather(spec, pairs(), every=False)
 
-    candidates = _by_document(rows.mapInArrow(anchors, schema), spec, True, key_type)
+    candidates = _by_document(rows.mapInArrow(anchors, _ROW_SCHEMA), spec, True, key_type)
     release(rows.sparkSession)
-    found = _by_document(_packed(rows).join(candidates, "k").select("k", "t", "many").mapInArrow(windows, schema), spec, False, key_type)
+    found = _by_document(_packed(rows).join(candidates, "k").select("k", "t", "many").mapInArrow(windows, _ROW_SCHEMA), spec, False, key_type)
     del candidates
     release(rows.sparkSession)
     return found
