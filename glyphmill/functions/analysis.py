@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .stemming import STEMMERS, stem_column, stem_word
-from .stopwords import STOPWORDS
+from .stopwords import stop_list
 
 #: Fixed value: the default token pattern.
 DEFAULT_PATTERN = "\\w+(?:['\u2019]\\w+)*"
@@ -89,7 +89,7 @@ class Stopalizer(Analyzer):
         if (language is None) == (stoplist is None):
             raise ValueError("give either a language or a list")
         self.language = language
-        self.words = sorted(set(stoplist if stoplist is not None else STOPWORDS[language]))
+        self.words = sorted(set(stoplist if stoplist is not None else stop_list(language)))
         self._set = frozenset(self.words)
 
     def apply(self, terms: Column) -> Column:
