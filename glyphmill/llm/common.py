@@ -108,3 +108,51 @@ def bounded_rows(rows: DataFrame, key: str, n: int, by: str, seed: int = 11):
     # The filter's size varies a little: cut to n by the same order, and fix the order.
     found = found.sort_values([".point", key], kind="stable")
     return found.groupby(by, sort=True).head(n).drop(columns=".point").reset_index(drop=True)
+
+
+def bounded_texts(docs: DataFrame, key: str, text: str, by: str | None, n: int, size: int, labels: DataFrame | None = None, seed: int = 11):
+    """A sample of whole texts ``t`` of each value ``y``, as a pandas frame in hash order of the key.
+
+    For each value, keys are taken by their hash until there are ``n`` texts or the
+    texts taken hold ``size`` bytes, whatever the length of each; so a sample exceeds
+    ``size`` by less than its last text, and a value with rows is never left out.
+    ``y`` is the column ``by`` of ``docs``, or comes from ``labels`` (key, y).  It must
+    have few values.
+
+    Three passes: a count of each value, the hashes and lengths of about ``n`` keys,
+    then the texts below the hash where each value's sample ends.  No task and no node
+    sorts or gathers more than the sample, and no other text is moved.
+    """
+    def point(column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), point(key).alias("p"), *([F.col(by).alias("y")] if labels is None else [])).where(F.col("t").isNotNull())
+
+    def rows(value: Column, limit: float) -> DataFrame:
+        found = known.where(F.col("p") <= limit).withColumn("t", value)
+        if labels is not None:
+            found = found.join(labels.select(F.col(key).alias("k"), "y").where(point("k") <= limit), "k")
+        return found.where(F.col("y").isNotNull())
+
+    def below(found: DataFrame, ends: dict) -> DataFrame:
+        return found.where(F.col("p") <= F.element_at(F.create_map(*[F.lit(x) for v, e in sorted(ends.items()) for x in (v, e)]), F.col("y")))
+
+    def cut(found, lengths: str):
+        # The filter's size varies a little: cut to n by the same order, and fix the order.
+        found = found.sort_values(["p", "k", lengths], kind="stable")
+        before = found.groupby("y")[lengths].cumsum() - found[lengths]
+        return found[(found.groupby("y").cumcount() < n) & (before < size)]
+
+    sizes = F.octet_length("t").cast("long")
+    counts = {r[0]: r[1] for r in rows(sizes, 1.0).groupBy("y").count().collect()}
+    if not counts:
+        return rows(F.col("t"), 1.0).limit(0).toPandas()
+    shares = {v: min(1.0, n / c) for v, c in counts.items()}
+    found = below(rows(sizes, max(shares.values())), shares).toPandas()
+    last = cut(found, "t").groupby("y")["p"].max()
+    ends = {v: float(last[v]) for v in counts if v in last.index}
+    if not ends:
+        return rows(F.col("t"), 1.0).limit(0).toPandas()
+    texts = below(rows(F.col("t"), max(ends.values())), ends).toPandas()
+    texts["bytes"] = [len(t.encode()) for t in texts["t"]]
+    return cut(texts, "bytes")[["t", "y"]].reset_index(drop=True)

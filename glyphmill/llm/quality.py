@@ -8,8 +8,9 @@ filters reads each chunk, is max-pooled over chunks and combined into one
 probability.  Texts are never cut: the cost is linear and a batch holds a few MB.
 
 Training uses a bounded sample: about ``SAMPLE_ROWS`` labelled texts of each label
-of at most ``SAMPLE_TEXT_BYTES`` bytes each, outside the held-out fold.  Scores
-cover whole texts of all documents.
+short and long ones whole, outside the held-out fold; a label's sample ends with the
+text that brings it to ``SAMPLE_BYTES``, if that comes first.  Scores cover whole
+texts of all documents.
 
 Defined results: null and empty texts are scored as one block of padding; rows
 without a label are not learned from; with no labelled rows of both labels the
@@ -38,7 +39,7 @@ CHUNK_FILTERS = 16
 #: Strides in half a chunk.
 HALF = 16
 SAMPLE_ROWS = 700
-SAMPLE_TEXT_BYTES = 6000
+SAMPLE_BYTES = SAMPLE_ROWS * 6000
 EPOCHS = 10
 SLICE = 1 << 20
 _WORD_BREAK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -160,6 +161,15 @@ class ByteConvNet:
             "w2": mean.T @ dh, "b2": dh.sum(0), "w3": pooled.T @ d, "b3": d.sum(keepdims=True),
         }
 
+    def sliced_gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
+        """``gradients``, made over about ``SLICE`` bytes of text at a time."""
+        out = dict.fromkeys(self.NAMES, 0.0)
+        ends = np.cumsum([*map(len, texts)])
+        for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends // SLICE)) + 1):
+            for k, g in self.gradients([texts[j] for j in own], y[own]).items():
+                out[k] = out[k] + g * np.float32(len(own) / len(texts))
+        return out
+
     def fit(self, texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, batch: int = 48, rate: float = 0.01, seed: int = 9) -> ByteConvNet:
         if len(set(y.tolist())) < 2:
             self.constant = float((y.sum() + 1) / (len(y) + 2))
@@ -173,7 +183,7 @@ class ByteConvNet:
             for i in range(0, len(texts), batch):
                 own = mixed[i : i + batch]
                 step += 1
-                for k, g in self.gradients([texts[j] for j in own], y[own]).items():
+                for k, g in self.sliced_gradients([texts[j] for j in own], y[own]).items():
                     m[k] += 0.1 * (g - m[k])
                     v[k] += 0.01 * (g * g - v[k])
                     p = getattr(self, k)
@@ -181,8 +191,8 @@ class ByteConvNet:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES, modulus: int = 5, remainder: int = 0) -> ByteConvNet:
-    texts, y = labelled_sample(docs, labels, label, key, text, rows, text_bytes, modulus, remainder)
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, modulus: int = 5, remainder: int = 0) -> ByteConvNet:
+    texts, y = labelled_sample(docs, labels, label, key, text, rows, sample_bytes, modulus, remainder)
     return ByteConvNet().fit([t.encode() for t in texts], y)
 
 

@@ -7,7 +7,8 @@ so most weights are exactly zero; what is left is broadcast as (slot, weight)
 arrays and can never exceed ``2**BITS`` entries.
 
 Training uses a bounded sample: about ``SAMPLE_ROWS`` labelled texts of each
-label, of at most ``SAMPLE_TEXT_BYTES`` bytes each, outside the held-out fold.
+label, short and long ones whole, outside the held-out fold; a label's sample ends
+with the text that brings it to ``SAMPLE_BYTES``, if that comes first.
 Scores cover whole texts of all documents.
 
 Defined results: null and empty texts have no features and get the score of the
@@ -27,14 +28,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, byte_slices, is_held_out
+from .common import bounded_texts, byte_slices, is_held_out
 from .decontamination import normal_words
 
 BITS = 20
 SAMPLE_ROWS = 4000
-SAMPLE_TEXT_BYTES = 6000
-#: Texts whose features are made at once in training.
-FIT_TEXTS = 200
+SAMPLE_BYTES = SAMPLE_ROWS * 6000
+#: Text bytes whose features are made at once in training.
+FIT_BYTES = 1 << 20
 EPOCHS = 3
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2.  One text moves a slot by
 #: less than 1 an epoch, so with L1 = epochs a feature of one text alone stays at zero.
@@ -114,11 +115,10 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
         p = (np.sum(labels) + 1) / (len(labels) + 2)
         return Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(p / (1 - p))))
     distinct: list[np.ndarray] = []  # the slots of each text
-    for i in range(0, len(texts), FIT_TEXTS):
-        some = texts[i : i + FIT_TEXTS]
-        owner, slots = features(pa.array(some, pa.string()))
+    for some in byte_slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"]), "t", FIT_BYTES):
+        owner, slots = features(some.column("t"))
         pairs = np.unique(owner.astype(np.int64) << BITS | slots)
-        cuts = np.searchsorted(pairs >> BITS, np.arange(1, len(some)))
+        cuts = np.searchsorted(pairs >> BITS, np.arange(1, some.num_rows))
         distinct += np.split((pairs & ((1 << BITS) - 1)).astype(np.int32), cuts)
     model, order = Ftrl(), np.random.default_rng(seed)
     for _ in range(epochs):
@@ -135,16 +135,15 @@ def score_batch(texts: pa.Array, dense: np.ndarray, bias: float) -> np.ndarray:
     return _sigmoid(total + bias)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int, text_bytes: int, modulus: int, remainder: int):
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, rows: int, sample_bytes: int, modulus: int, remainder: int):
     """A bounded training sample of both labels, outside the held-out fold, as (text, label)."""
     known = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~is_held_out(key, modulus, remainder))
-    short = docs.select(F.col(key), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.octet_length("t") <= text_bytes) & ~is_held_out(key, modulus, remainder))
-    found = bounded_rows(short.join(known, key), key, rows, "y")
+    found = bounded_texts(docs.where(~is_held_out(key, modulus, remainder)), key, text, None, rows, sample_bytes, known)
     return found["t"].tolist(), found["y"].to_numpy(np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_TEXT_BYTES, modulus: int = 5, remainder: int = 0) -> Weights:
-    texts, y = labelled_sample(docs, labels, label, key, text, rows, text_bytes, modulus, remainder)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, modulus: int = 5, remainder: int = 0) -> Weights:
+    texts, y = labelled_sample(docs, labels, label, key, text, rows, sample_bytes, modulus, remainder)
     return fit(texts, y)
 
 
