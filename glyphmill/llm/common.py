@@ -123,19 +123,27 @@ def bounded_texts(docs: DataFrame, key: str, text: str, by: str | None, n: int,
     then the texts below the hash where each value's sample ends.  No task and no node
     sorts or gathers more than the sample, and no other text is moved.
     """
+
     def point(column: str) -> Column:
         return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), point(key).alias("p"), *([F.col(by).alias("y")] if labels is None else [])).where(F.col("t").isNotNull())
 
-    def rows(value: Column, limit: float) -> DataFrame:
-        found = known.where(F.col("p") <= limit).withColumn("t", value)
-        if labels is not None:
-            found = found.join(labels.select(F.col(key).alias("k"), "y").where(point("k") <= limit), "k")
-        return found.where(F.col("y").isNotNull())
+    def rows(value: Column, ends: dict | None = None) -> DataFrame:
+        """Texts (or their lengths) with their ``y``, up to the hash where each value ends."""
+
+        def below(found: DataFrame) -> DataFrame:
+            end = F.element_at(F.create_map(*[F.lit(x) for v, e in sorted(ends.items()) for x in (v, e)]), F.col("y"))
+            return found.where(F.col("y").isNotNull() & (F.col("p") <= end))
 
-    def below(found: DataFrame, ends: dict) -> DataFrame:
-        return found.where(F.col("p") <= F.element_at(F.create_map(*[F.lit(x) for v, e in sorted(ends.items()) for x in (v, e)]), F.col("y")))
+        found = known.withColumn("t", value)
+        if labels is None:
+            return found.where(F.col("y").isNotNull()) if ends is None else below(found)
+        own = labels.select(F.col(key).alias("k"), "y").where(F.col("y").isNotNull())
+        if ends is None:
+            return found.join(own, "k")
+        # About n keys of each value go to every task, so that no text is moved for the join.
+        return found.join(F.broadcast(below(own.withColumn("p", point("k"))).drop("p")), "k")
 
     def cut(found, lengths: str):
         # The filter's size varies a little: cut to n by the same order, and fix the order.
@@ -144,15 +152,15 @@ def bounded_texts(docs: DataFrame, key: str, text: str, by: str | None, n: int,
         return found[(found.groupby("y").cumcount() < n) & (before < size)]
 
     sizes = F.octet_length("t").cast("long")
-    counts = {r[0]: r[1] for r in rows(sizes, 1.0).groupBy("y").count().collect()}
+    counts = {r[0]: r[1] for r in rows(sizes).groupBy("y").count().collect()}
     if not counts:
-        return rows(F.col("t"), 1.0).limit(0).toPandas()
+        return rows(F.col("t")).limit(0).toPandas()
     shares = {v: min(1.0, n / c) for v, c in counts.items()}
-    found = below(rows(sizes, max(shares.values())), shares).toPandas()
+    found = rows(sizes, shares).toPandas()
     last = cut(found, "t").groupby("y")["p"].max()
     ends = {v: float(last[v]) for v in counts if v in last.index}
     if not ends:
-        return rows(F.col("t"), 1.0).limit(0).toPandas()
-    texts = below(rows(F.col("t"), max(ends.values())), ends).toPandas()
+        return rows(F.col("t")).limit(0).toPandas()
+    texts = rows(F.col("t"), ends).toPandas()
     texts["bytes"] = [len(t.encode()) for t in texts["t"]]
     return cut(texts, "bytes")[["t", "y"]].reset_index(drop=True)

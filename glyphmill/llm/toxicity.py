@@ -32,8 +32,8 @@ from .common import bounded_texts, byte_slices, is_held_out
 from .decontamination import normal_words
 
 BITS = 20
-SAMPLE_ROWS = 4000
-SAMPLE_BYTES = SAMPLE_ROWS * 6000
+SAMPLE_ROWS = 6000
+SAMPLE_BYTES = SAMPLE_ROWS * 8000
 #: Text bytes whose features are made at once in training.
 FIT_BYTES = 1 << 20
 EPOCHS = 3
