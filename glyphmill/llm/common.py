@@ -93,23 +93,6 @@ def no_cycle_collection():
             gc.enable()
 
 
-def bounded_rows(rows: DataFrame, key: str, n: int, by: str, seed: int = 11):
-    """About ``n`` rows of each value of ``by`` as a pandas frame, chosen by a hash of the key.
-
-    Two passes: a count of each value, then a filter on the hash, so no task and no
-    node sorts or gathers more than the sample.  ``by`` must have few values.
-    """
-    counts = {r[0]: r[1] for r in rows.groupBy(by).count().collect() if r[0] is not None}
-    if not counts:
-        return rows.limit(0).toPandas()
-    share = F.create_map(*[F.lit(x) for v, c in sorted(counts.items()) for x in (v, min(1.0, n / c))])
-    point = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    found = rows.where(F.col(by).isNotNull() & (point < F.element_at(share, F.col(by)))).withColumn(".point", point).toPandas()
-    # The filter's size varies a little: cut to n by the same order, and fix the order.
-    found = found.sort_values([".point", key], kind="stable")
-    return found.groupby(by, sort=True).head(n).drop(columns=".point").reset_index(drop=True)
-
-
 def bounded_texts(docs: DataFrame, key: str, text: str, by: str | None, n: int, size: int, labels: DataFrame | None = None, seed: int = 11):
     """A sample of whole texts ``t`` of each value ``y``, as a pandas frame in hash order of the key.
 

@@ -8,10 +8,12 @@ switches language is followed word by word.  A document's label comes from the
 forward-backward posteriors: their mean over its words, the largest share being
 the score.
 
-Chains are cut every ``CHAIN`` words, each stretch being labelled on its own; all
-words of a text take part.  Training uses a bounded sample: about ``SAMPLE_ROWS``
-documents of each language, the first ``SAMPLE_CHARS`` characters of each, outside
-the held-out fold; some training chains join stretches of different languages.
+A text is one chain.  To be worked on side by side it is cut every ``CHAIN`` words;
+the messages of forward-backward are carried over the cuts, so results are those of
+the uncut chain.  Training uses a bounded sample: about ``SAMPLE_ROWS`` documents of
+each language, whole, outside the held-out fold; a language's sample ends with the
+text that brings it to ``SAMPLE_BYTES``, if that comes first.  Some stretches of the
+training chains are replaced by stretches of other languages.
 
 Defined results: null text and text without a letter are ``und`` with score 0;
 rows with a null language are not learned from; with nothing to learn from, every
@@ -29,14 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, byte_slices, is_held_out
+from .common import bounded_texts, byte_slices, is_held_out
 from .words import Numbered, ascii_words
 
 BITS = 16
 GRAMS = (1, 2, 3, 4)
 CHAIN = 64
 SAMPLE_ROWS = 250
-SAMPLE_CHARS = 3000
+SAMPLE_BYTES = SAMPLE_ROWS * 8000
 ROUNDS = 40
 UNKNOWN = "und"
 #: Text bytes labelled at once: features take some hundred bytes for each.
@@ -84,6 +86,7 @@ class Chains:
 
     codes: np.ndarray  # (step, chain): number of the distinct word
     text: np.ndarray  # text of each chain
+    follows: np.ndarray  # whether it goes on where the chain before it ends
     has_letter: np.ndarray  # of each distinct word
     words: list[str]
 
@@ -100,7 +103,7 @@ def cut_chains(n: Numbered, chain: int = CHAIN) -> Chains:
     valid = np.arange(chain)[:, None] < size[None, :]
     codes = np.where(valid, n.codes[np.minimum(at, max(len(n.codes) - 1, 0))] if len(n.codes) else -1, -1)
     letters = pc.match_substring_regex(pa.array(n.words, pa.string()), r"\p{L}").to_numpy(zero_copy_only=False).astype(bool)
-    return Chains(codes, text, letters, n.words)
+    return Chains(codes, text, index > 0, letters, n.words)
 
 
 def lowered(texts: pa.Array) -> Numbered:
@@ -122,34 +125,70 @@ class ChainField:
             return np.zeros((0, len(self.languages)), np.float32)
         return np.add.reduceat(self.weights[slots], first, axis=0)
 
-    def posteriors(self, potentials: np.ndarray, valid: np.ndarray):
+    def _carried(self, potentials: np.ndarray, valid: np.ndarray, follows: np.ndarray, move: np.ndarray, start: np.ndarray):
+        """What comes into each lane from the lanes of its text before and after it.
+
+        A lane is a matrix from the state before its first word to that of its last; the
+        messages are passed from lane to lane by these.
+        """
+        steps, lanes, k = potentials.shape
+        through = np.where(follows[:, None, None], move, start) * potentials[0][:, None, :]
+        for t in range(1, steps):
+            on = (through.reshape(-1, k) @ move).reshape(lanes, k, k) * potentials[t][:, None, :]
+            through = np.where(valid[t][:, None, None], on, through)
+            through /= through.sum((1, 2), keepdims=True)
+        place = np.arange(lanes) - np.flatnonzero(~follows)[np.cumsum(~follows) - 1]
+        order = np.argsort(place, kind="stable")
+        turns = np.split(order, np.searchsorted(place[order], np.arange(1, place.max() + 1)))[1:]
+        before, after = np.full((lanes, k), 1 / k, np.float32), np.ones((lanes, k), np.float32)
+        for own in turns:
+            x = np.einsum("li,lij->lj", before[own - 1], through[own - 1])
+            before[own] = x / x.sum(1, keepdims=True)
+        for own in reversed(turns):
+            x = np.einsum("lij,lj->li", through[own], after[own])
+            after[own - 1] = x / x.sum(1, keepdims=True)
+        return before, after
+
+    def posteriors(self, potentials: np.ndarray, valid: np.ndarray, follows: np.ndarray | None = None, moves: bool = True):
         """Forward-backward over lanes: (step, lane, language) posteriors and expected moves.
 
-        ``potentials`` are exponentiated emissions, 1 where ``valid`` is false.
+        ``potentials`` are exponentiated emissions, 1 where ``valid`` is false.  A lane
+        that ``follows`` goes on where the lane before it ends.
         """
         steps, lanes, k = potentials.shape
         move = np.exp(self.moves).astype(np.float32)
         stay = np.eye(k, dtype=np.float32)
+        first, backward = np.exp(self.start).astype(np.float32), np.ones((lanes, k), np.float32)
+        linked = follows is not None and follows.any()
+        if linked:
+            before, backward = self._carried(potentials, valid, follows, move, first)
+            first = np.where(follows[:, None], before @ move, first)
         forward = np.empty((steps, lanes, k), np.float32)
-        a = potentials[0] * np.exp(self.start).astype(np.float32)
+        a = potentials[0] * first
         forward[0] = a / a.sum(1, keepdims=True)
         for t in range(1, steps):
             a = np.where(valid[t][:, None], forward[t - 1] @ move, forward[t - 1]) * potentials[t]
             forward[t] = a / a.sum(1, keepdims=True)
-        backward = np.ones((lanes, k), np.float32)
         expected = np.zeros((k, k))
         out = np.empty_like(forward)
-        out[-1] = forward[-1]
+        p = forward[-1] * backward
+        out[-1] = p / p.sum(1, keepdims=True)
+
+        def expect(source: np.ndarray, b: np.ndarray):
+            joint = source[:, :, None] * move[None] * b[:, None, :]
+            return (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+
         for t in range(steps - 1, 0, -1):
             b = potentials[t] * backward
             on = valid[t]
-            if on.any():
-                joint = forward[t - 1][on][:, :, None] * move[None] * b[on][:, None, :]
-                expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            if moves and on.any():
+                expected += expect(forward[t - 1][on], b[on])
             backward = np.where(on[:, None], b @ move.T, b @ stay)
             backward /= backward.sum(1, keepdims=True)
             p = forward[t - 1] * backward
             out[t - 1] = p / p.sum(1, keepdims=True)
+        if moves and linked:
+            expected += expect(before[follows], (potentials[0] * backward)[follows])
         return out, expected
 
     def _potentials(self, chains: Chains, emissions: np.ndarray):
@@ -167,20 +206,22 @@ class ChainField:
         lettered = valid & chains.has_letter[np.maximum(chains.codes, 0)]
         one = np.eye(k)
         pair = (labels[:-1] * k + labels[1:])[valid[1:]]
+        over = np.flatnonzero(chains.follows)
+        pair = np.append(pair, labels[valid.sum(0)[over - 1] - 1, over - 1] * k + labels[0, over])
         observed = np.bincount(pair, minlength=k * k).reshape(k, k)
         params = [self.weights, self.moves, self.start]
         m, v = ([np.zeros_like(p, np.float64) for p in params] for _ in range(2))
         total = max(int(valid.sum()), 1)
         for step in range(1, rounds + 1):
             potentials, _ = self._potentials(chains, self.emissions(slots, first))
-            post, expected = self.posteriors(potentials, valid)
+            post, expected = self.posteriors(potentials, valid, chains.follows)
             off = (one[labels] - post)[lettered]
             per_word = np.stack([np.bincount(chains.codes[lettered], weights=off[:, j], minlength=len(chains.words)) for j in range(k)], 1)
             spread = np.repeat(per_word, lengths, axis=0)
             grads = [
                 np.stack([np.bincount(slots, weights=spread[:, j], minlength=1 << BITS) for j in range(k)], 1) / total - decay * self.weights / (1 << BITS),
                 (observed - expected) / total,
-                (one[labels[0]] - post[0]).sum(0) / total,
+                (one[labels[0]] - post[0])[~chains.follows].sum(0) / total,
             ]
             for p, g, a, b in zip(params, grads, m, v, strict=True):
                 a += 0.2 * (g - a)
@@ -196,10 +237,13 @@ class ChainField:
             return np.full(count, -1), np.zeros(count)
         emissions = self.emissions(*word_features(chains.words))
         total, words = np.zeros((count, k)), np.zeros(count)
-        for i in range(0, chains.codes.shape[1], 4096):
-            part = Chains(chains.codes[:, i : i + 4096], chains.text[i : i + 4096], chains.has_letter, chains.words)
+        # Parts of about 4096 chains, which end where a text does.
+        ends = np.append(np.flatnonzero(~chains.follows), len(chains.text))
+        ends = np.unique([0, *ends[np.searchsorted(ends, np.arange(4096, len(chains.text), 4096))], len(chains.text)])
+        for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            part = Chains(chains.codes[:, i:j], chains.text[i:j], chains.follows[i:j], chains.has_letter, chains.words)
             potentials, valid = self._potentials(part, emissions)
-            post, _ = self.posteriors(potentials, valid)
+            post, _ = self.posteriors(potentials, valid, part.follows, False)
             lettered = valid & chains.has_letter[np.maximum(part.codes, 0)]
             sums = np.where(lettered[:, :, None], post, 0).sum(0)
             for j in range(k):
@@ -215,7 +259,7 @@ class ChainField:
         if not chains.codes.shape[1]:
             return []
         potentials, valid = self._potentials(chains, self.emissions(*word_features(chains.words)))
-        post, _ = self.posteriors(potentials, valid)
+        post, _ = self.posteriors(potentials, valid, chains.follows, False)
         return [(chains.words[chains.codes[t, c]], self.languages[int(post[t, c].argmax())]) for c in range(chains.codes.shape[1]) for t in range(chains.codes.shape[0]) if valid[t, c]]
 
 
@@ -236,12 +280,11 @@ def fit(texts: list[str], langs: list[str], seed: int = 4) -> ChainField:
     whole = (chains.codes[half - 1, mixed] >= 0) if n else np.zeros(0, bool)
     codes[half:, mixed[whole]] = chains.codes[:half, other[whole]]
     labels[half:, mixed[whole]] = of[chains.text[other[whole]]]
-    return field.fit(Chains(codes, chains.text, chains.has_letter, chains.words), labels)
+    return field.fit(Chains(codes, chains.text, chains.follows, chains.has_letter, chains.words), labels)
 
 
-def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, modulus: int = 4, remainder: int = 2) -> ChainField:
-    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~is_held_out(key, modulus, remainder))
-    found = bounded_rows(known.select(F.col(key), F.substring(text, 1, chars).alias("t"), F.col(lang).alias("y")), key, rows, "y")
+def train(docs: DataFrame, lang: str = "lang", key: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, modulus: int = 4, remainder: int = 2) -> ChainField:
+    found = bounded_texts(docs.where(~is_held_out(key, modulus, remainder)), key, text, lang, rows, sample_bytes)
     return fit(found["t"].tolist(), found["y"].tolist())
 
 
