@@ -99,10 +99,13 @@ class IdEncoder:
 
     def _blobs(self, parts: list[str]) -> list[bytes]:
         # The vocabulary lower-cases, and a run of letters never joins a mark after it:
-        # "Word," has the ids of "word" and then those of ",".
-        tails = [p[-1:] if p[-1:] in _TAILS and p[:-1].isalpha() else "" for p in parts]
+        # "Word," has the ids of "word" and then those of ",".  Only for ASCII letters: others
+        # may end in a combining mark once lower-cased, and added tokens are matched as they stand.
+        tails = [p[-1:] if p[-1:] in _TAILS else "" for p in parts]
         cores = [p[:-1] if t else p for p, t in zip(parts, tails, strict=True)]
-        cores = [c.lower() if c.isascii() else c for c in cores]
+        plain = [c.isascii() and c.isalpha() for c in cores]
+        tails = [t if x else "" for t, x in zip(tails, plain, strict=True)]
+        cores = [c.lower() if x else p for p, c, x in zip(parts, cores, plain, strict=True)]
         get = self._cache.get
         found = [*map(get, cores)]
         missing = {c for c, v in zip(cores, found, strict=True) if v is None}
