@@ -1,8 +1,8 @@
 """WARC archives whose records are compressed one by one with a shared dictionary.
 
 Each task writes its rows as ``.warc.zst`` files: a leading skippable frame holds
-a Zstandard dictionary trained on records of that file, then a ``warcinfo``
-record and one frame per page follow, so a reader can seek to any record.  Equal
+a Zstandard dictionary trained on records of that file (or made of their bytes,
+where they are too few or too short to train on), then a ``warcinfo`` record and one frame per page follow, so a reader can seek to any record.  Equal
 payloads of at least ``min_revisit_bytes`` are stored once: the one with the
 smallest key is a ``response``, the others are ``revisit`` records.
 
@@ -97,17 +97,17 @@ class ArchiveWriter:
 
     def _begin(self) -> None:
         samples = [r[:TRAINING_RECORD_BYTES] for r in self._waiting]
-        dictionary = None
         try:
             dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=512, d=8)
-        except zstandard.ZstdError:
-            pass  # too few or too short records for a dictionary
-        if dictionary is not None:
             raw = dictionary.as_bytes()
-            self._put(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
-            self._compressor = zstandard.ZstdCompressor(level=self._level, dict_data=dictionary, write_checksum=True)
-        else:
-            self._compressor = zstandard.ZstdCompressor(level=self._level, write_checksum=True)
+        except zstandard.ZstdError:
+            # Too few or too short records to train on: their own bytes are the dictionary,
+            # compressed in the file, as they have no magic of their own.
+            content = b"".join(samples)[:DICTIONARY_BYTES]
+            dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw = zstandard.ZstdCompressor().compress(content)
+        self._put(struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw)
+        self._compressor = zstandard.ZstdCompressor(level=self._level, dict_data=dictionary, write_checksum=True)
         waiting, self._waiting = self._waiting, []
         for r in waiting:
             self._put(self._compressor.compress(r))
