@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions.analysis import CaseFolder, PolyAnalyzer, Stemmer, Stopalizer, Tokenizer
+from glyphmill.functions.stemming import STEMMERS
 from glyphmill.functions.stopwords import STOPWORDS
 from glyphmill.operators.highlight import Highlighter
 from glyphmill.operators.search import PolySearcher, Searcher, SortRule, SortSpec
@@ -246,8 +247,13 @@ _register("norms", _norms, _leaf_sql(["x"]) + "SELECT doc_id, CAST(n_tokens AS B
 
 
 def _stems(spark: SparkSession, sf: str) -> DataFrame:
-    words = _docs(spark, sf).where("lang = 'en'").select(F.explode(F.array_distinct(ANALYZER.terms(F.col("text")))).alias("word")).distinct()
-    return words.select("word", F.element_at(Stemmer("en").apply(F.array("word")), 1).alias("stem"))
+    """Distinct words of each language with their stems: null where the language has no stemmer, or is null."""
+    words = _docs(spark, sf).select("lang", F.explode(F.array_distinct(ANALYZER.terms(F.col("text")))).alias("word")).distinct()
+    stem = F.lit(None).cast("string")
+    for language in STEMMERS:
+        own = F.when(F.col("lang") == language, F.array("word"))
+        stem = F.coalesce(F.element_at(Stemmer(language).apply(own), 1), stem)
+    return words.select("lang", "word", stem.alias("stem"))
 
 
 _register("stemmed_vocabulary", _stems)
