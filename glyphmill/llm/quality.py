@@ -1,11 +1,11 @@
 """Quality of texts by a byte-level convolutional network in numpy.
 
-A byte becomes a learned embedding and one further channel: whether it equals the
-byte at the same place of the word before.  The first layer's filters are 16
-bytes wide and step by 8.  Their rectified outputs are averaged over chunks of
-256 bytes that overlap by half and cover the whole document; a second layer of
-filters reads each chunk, is max-pooled over chunks and combined into one
-probability.  Texts are never cut: the cost is linear and a batch holds a few MB.
+A byte becomes a learned embedding.  The first layer's filters are 16 bytes wide
+and step by 8.  Their rectified outputs are averaged over chunks of 256 bytes that
+overlap by half and cover the whole document; a second layer of filters reads each
+chunk, is max-pooled over chunks and combined into one probability.  Texts are never
+cut: a long one goes through in windows that overlap by half a chunk, with a running
+maximum, so memory stays at a few times ``SLICE`` whatever its length.
 
 Training uses a bounded sample: about ``SAMPLE_ROWS`` labelled texts of each label
 short and long ones whole, outside the held-out fold; a label's sample ends with the
@@ -20,6 +20,7 @@ columns other than the key and the text are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,27 +33,25 @@ from .toxicity import labelled_sample
 
 STRIDE = 8
 WIDTH = 16
-EMBED = 7
-CHANNELS = EMBED + 1
-FILTERS = 16
-CHUNK_FILTERS = 16
+EMBED = 8
+FILTERS = 24
+CHUNK_FILTERS = 32
 #: Strides in half a chunk.
 HALF = 16
-SAMPLE_ROWS = 700
+SAMPLE_ROWS = 1000
 SAMPLE_BYTES = SAMPLE_ROWS * 6000
 EPOCHS = 10
+#: Bytes laid out at once; a multiple of half a chunk.
 SLICE = 1 << 20
-_WORD_BREAK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_HALF_BYTES = HALF * STRIDE
 
 
 @dataclass
 class Layout:
-    """Bytes of a batch with each text on its own strides, a padding stride after it."""
+    """Bytes of a batch with each text on its own strides, one more stride after it."""
 
     data: np.ndarray
-    echo: np.ndarray
-    block_text: np.ndarray  # text of each stride that a filter starts at
-    blocks: np.ndarray  # those strides
+    blocks: np.ndarray  # strides that a filter starts at
     half_start: np.ndarray  # first of them in each half chunk
     half_size: np.ndarray
     chunk_a: np.ndarray  # the half chunks of each chunk
@@ -60,36 +59,46 @@ class Layout:
     chunk_start: np.ndarray  # first chunk of each text
 
 
-def echoes(data: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Where a byte equals the byte at the same place of the word before, in texts that begin at ``begin``."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.float32)
-    space = _WORD_BREAK[data] | (data == 0)
-    start = np.flatnonzero(~space & np.append(True, space[:-1]))
-    if len(start) < 2:
-        return np.zeros(n, np.float32)
-    word = np.searchsorted(start, np.arange(n), side="right") - 1
-    owner = np.searchsorted(begin, start, side="right")
-    follows = np.append(False, owner[1:] == owner[:-1])[np.maximum(word, 0)]
-    shift = np.append(0, np.diff(start))[np.maximum(word, 0)]
-    back = np.arange(n) - shift
-    return ((word >= 0) & follows & ~space & (data == data[np.maximum(back, 0)])).astype(np.float32)
-
-
-def lay_out(texts: list[bytes]) -> Layout:
+def windows(texts: list[bytes], limit: int = SLICE) -> Iterator[tuple[list[int], list[bytes], list[bytes]]]:
+    """Batches of about ``limit`` bytes: (text numbers, pieces, the stride that follows each piece).
+
+    Pieces of one text overlap by half a chunk, so that each of its chunks is in one of them.
+    """
+    step = max(limit // _HALF_BYTES, 2) * _HALF_BYTES
+    numbers, pieces, after, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        a = 0
+        while True:
+            b = min(a + step, len(text))
+            if pieces and size + b - a > step:
+                yield numbers, pieces, after
+                numbers, pieces, after, size = [], [], [], 0
+            numbers.append(i)
+            pieces.append(text[a:b])
+            after.append(text[b : b + STRIDE])
+            size += b - a
+            if b == len(text):
+                break
+            a = b - _HALF_BYTES
+    if pieces:
+        yield numbers, pieces, after
+
+
+def lay_out(texts: list[bytes], after: list[bytes] | None = None) -> Layout:
+    """``after`` holds what follows a text that is a piece of a longer one; zeros follow others."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     own = np.maximum(-(-lengths // STRIDE), 1)  # strides that filters start at
     total = own + 1
     first = np.concatenate([[0], np.cumsum(total)])
     data = np.zeros(first[-1] * STRIDE, np.uint8)
+    if after is not None:  # what has a follower fills its strides
+        texts = [t + f for t, f in zip(texts, after, strict=True)]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     raw = np.frombuffer(b"".join(texts), np.uint8)
     if len(raw):
         begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         data[np.arange(len(raw)) + np.repeat(first[:-1] * STRIDE - begin, lengths)] = raw
-    number = np.arange(len(texts))
     own_first = np.concatenate([[0], np.cumsum(own)])
-    block_text = np.repeat(number, own)
     blocks = np.arange(own_first[-1]) + np.repeat(first[:-1] - own_first[:-1], own)
     halves = -(-own // HALF)
     half_first = np.concatenate([[0], np.cumsum(halves)])
@@ -100,7 +109,7 @@ def lay_out(texts: list[bytes]) -> Layout:
     chunk_start = np.concatenate([[0], np.cumsum(chunks)])
     chunk_a = np.arange(chunk_start[-1]) - np.repeat(chunk_start[:-1], chunks) + np.repeat(half_first[:-1], chunks)
     chunk_b = np.minimum(chunk_a + 1, np.repeat(half_first[1:] - 1, chunks))
-    return Layout(data, echoes(data, first[:-1] * STRIDE), block_text, blocks, half_start, half_size, chunk_a, chunk_b, chunk_start[:-1])
+    return Layout(data, blocks, half_start, half_size, chunk_a, chunk_b, chunk_start[:-1])
 
 
 class ByteConvNet:
@@ -110,17 +119,14 @@ class ByteConvNet:
         r = np.random.default_rng(seed)
         f = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
         self.embed = f(256, EMBED, scale=0.5)
-        self.w1a, self.w1b = (f(STRIDE * CHANNELS, FILTERS, scale=0.15) for _ in range(2))
+        self.w1a, self.w1b = (f(STRIDE * EMBED, FILTERS, scale=0.15) for _ in range(2))
         self.b1 = np.zeros(FILTERS, np.float32)
         self.w2, self.b2 = f(FILTERS, CHUNK_FILTERS, scale=0.4), np.full(CHUNK_FILTERS, 0.1, np.float32)
         self.w3, self.b3 = f(CHUNK_FILTERS, scale=0.3), np.zeros(1, np.float32)
         self.constant: float | None = None
 
     def _forward(self, at: Layout):
-        x = np.empty((len(at.data), CHANNELS), np.float32)
-        x[:, :EMBED] = self.embed[at.data]
-        x[:, EMBED] = at.echo
-        rows = x.reshape(-1, STRIDE * CHANNELS)
+        rows = self.embed[at.data].reshape(-1, STRIDE * EMBED)
         z = (rows @ self.w1a)[at.blocks] + (rows @ self.w1b)[at.blocks + 1] + self.b1
         r = np.maximum(z, 0)
         sums = np.add.reduceat(r, at.half_start, axis=0)
@@ -136,7 +142,11 @@ class ByteConvNet:
             return np.zeros(0)
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        logit = self._forward(lay_out(texts))[-1].astype(np.float64)
+        best = np.zeros((len(texts), CHUNK_FILTERS), self.w3.dtype)  # rectified: nothing is below zero
+        for numbers, pieces, after in windows(texts):
+            pooled = self._forward(lay_out(pieces, after))[-2]
+            np.maximum.at(best, numbers, pooled)
+        logit = (best @ self.w3 + self.b3[0]).astype(np.float64)
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -35, 35)))
 
     def gradients(self, texts: list[bytes], y: np.ndarray) -> dict[str, np.ndarray]:
@@ -154,7 +164,7 @@ class ByteConvNet:
         drows = np.zeros_like(rows)
         drows[at.blocks] += dz @ self.w1a.T
         drows[at.blocks + 1] += dz @ self.w1b.T
-        dx = drows.reshape(-1, CHANNELS)[:, :EMBED]
+        dx = drows.reshape(-1, EMBED)
         embed = np.stack([np.bincount(at.data, weights=dx[:, c], minlength=256) for c in range(EMBED)], axis=1)
         return {
             "embed": embed, "w1a": rows[at.blocks].T @ dz, "w1b": rows[at.blocks + 1].T @ dz, "b1": dz.sum(0),

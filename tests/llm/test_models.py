@@ -25,7 +25,7 @@ def held_out(doc_id, modulus, remainder):
     return zlib.crc32(str(doc_id).encode()) % modulus == remainder
 
 
-@pytest.mark.parametrize("module,label,rows,low", [(quality, "quality", 400, 0.99), (toxicity, "toxic", 4000, 0.96)])
+@pytest.mark.parametrize("module,label,rows,low", [(quality, "quality", quality.SAMPLE_ROWS, 0.97), (toxicity, "toxic", toxicity.SAMPLE_ROWS, 0.96)])
 def test_classifiers(spark, module, label, rows, low):
     docs, labels = tables(spark)
     model = module.train(docs, labels, rows=rows)
