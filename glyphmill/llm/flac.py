@@ -12,6 +12,9 @@ are decoded side by side in numpy: the n-th residual of all frames at once.
 Streams of other encoders (several channels, other sample sizes, escaped
 partitions, no seek table) go through a plain frame decoder.
 
+A payload is encoded and decoded in windows of frames, so memory follows its size by
+a small factor only.
+
 Defined results for columns: null and empty texts are an empty payload, padded to
 64 zero bytes; null media raise no error and have no blocks; damaged media raise
 ``ValueError``; repeated rows give equal results; other columns are dropped.
@@ -22,6 +25,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, ensure_checkpoint_dir
 
 BLOCK = 1024
 PAD = 64
 RATE = 8000
 PARTITION_ORDER = 2
-#: Payload bytes handled at once.
+#: Payload bytes handled at once; a multiple of ``BLOCK``.
 SLICE = 1 << 20
+#: Fixed by the format: the largest block.
+MAX_BLOCK = 1 << 16
 
 #: Fixed by the format: generator polynomials, and block sizes by code.
 CRC8_POLY, CRC16_POLY = 0x07, 0x8005
@@ -260,24 +266,45 @@ def padded(payload: bytes) -> bytes:
     return payload + bytes(-len(payload) % PAD or (PAD if not payload else 0))
 
 
-def encode_many(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each (padded, non-empty) payload of unsigned bytes."""
-    if not payloads:
-        return []
-    lengths = np.fromiter(map(len, payloads), np.int64, len(payloads))
-    samples = (np.frombuffer(b"".join(payloads), np.uint8) ^ 0x80).view(np.int8)
-    frames = _cut(lengths)
-    data, byte_at = encode_frames(samples, frames)
-    first = np.searchsorted(frames.payload, np.arange(len(payloads) + 1)).tolist()
-    begin = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-    raw, at, sizes = data.tobytes(), byte_at.tolist(), frames.size.tolist()
-    pcm = samples.tobytes()
-    out = []
-    for i, (a, b) in enumerate(zip(first, first[1:], strict=False)):
-        seek = [(k * BLOCK, at[a + k] - at[a], sizes[a + k]) for k in range(b - a)]
-        md5 = hashlib.md5(pcm[begin[i] : begin[i + 1]]).digest()
-        out.append(stream_head(len(payloads[i]), md5, seek) + raw[at[a] : at[b]])
-    return out
+def _windows(sizes: list[int], limit: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Batches of (number, start, stop) stretches that hold at most ``limit`` in all."""
+    group: list[tuple[int, int, int]] = []
+    room = limit
+    for i, n in enumerate(sizes):
+        for a in range(0, n, limit):
+            b = min(a + limit, n)
+            if group and b - a > room:
+                yield group
+                group, room = [], limit
+            group.append((i, a, b))
+            room -= b - a
+    if group:
+        yield group
+
+
+def encode_many(payloads: list[bytes], limit: int = SLICE) -> list[bytes]:
+    """A FLAC stream for each (padded, non-empty) payload of unsigned bytes.
+
+    Frames are made over ``limit`` bytes at a time (a multiple of ``BLOCK``), so a
+    long payload needs little more memory than itself.
+    """
+    parts: list[list[bytes]] = [[] for _ in payloads]
+    seek: list[list[tuple[int, int, int]]] = [[] for _ in payloads]
+    written, md5 = [0] * len(payloads), [hashlib.md5() for _ in payloads]
+    for group in _windows([*map(len, payloads)], limit):
+        samples = (np.frombuffer(b"".join(payloads[i][a:b] for i, a, b in group), np.uint8) ^ 0x80).view(np.int8)
+        frames = _cut(np.array([b - a for _, a, b in group]))
+        frames.number += np.array([a // BLOCK for _, a, _ in group])[frames.payload]
+        data, byte_at = encode_frames(samples, frames)
+        first = np.searchsorted(frames.payload, np.arange(len(group) + 1)).tolist()
+        raw, at, sizes, pcm, begin = data.tobytes(), byte_at.tolist(), frames.size.tolist(), samples.tobytes(), 0
+        for (i, a, b), x, y in zip(group, first, first[1:], strict=False):
+            seek[i] += [(a + k * BLOCK, written[i] + at[x + k] - at[x], sizes[x + k]) for k in range(y - x)]
+            parts[i].append(raw[at[x] : at[y]])
+            written[i] += at[y] - at[x]
+            md5[i].update(pcm[begin : begin + b - a])
+            begin += b - a
+    return [b"".join([stream_head(len(payloads[i]), md5[i].digest(), seek[i]), *parts[i]]) for i in range(len(payloads))]
 
 
 @dataclass
@@ -556,39 +583,56 @@ def decode_frames(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[
     return out
 
 
-def decode_many(streams: list[bytes]) -> list[list[np.ndarray]]:
-    """PCM frames, (channel, sample) arrays, of each stream; checksums and MD5 are verified."""
+def _pcm_bytes(frame: np.ndarray, width: int) -> bytes:
+    """Interleaved samples of a frame, little-endian, in ``width`` bytes each."""
+    inter = frame.T.reshape(-1)
+    return inter.astype(np.int8).tobytes() if width == 1 else np.ascontiguousarray(inter.astype("<i8").reshape(-1, 1).view(np.uint8)[:, :width]).tobytes()
+
+
+def decode_many(streams: list[bytes], limit: int = SLICE) -> list[list[np.ndarray]]:
+    """PCM frames, (channel, sample) arrays, of each stream; checksums and MD5 are verified.
+
+    Frames are decoded over about ``limit`` samples at a time, those of a long stream
+    in several turns.
+    """
     infos = [parse_stream(s) for s in streams]
-    quick, starts, ends, base = [], [], [], 0
+    quick = []
     for i, info in enumerate(infos):
         covered = info.channels == 1 and info.bits == 8 and info.seek and info.seek[0][:2] == (0, 0)
         covered = covered and all(a[0] + a[2] == b[0] for a, b in zip(info.seek, info.seek[1:], strict=False)) and info.seek[-1][0] + info.seek[-1][2] == info.samples
         if covered:
             quick.append(i)
-            own = [base + info.audio + p[1] for p in info.seek]
-            starts += own
-            ends += [*own[1:], base + len(info.data)]
-            base += len(info.data)
-    decoded = decode_frames(np.frombuffer(b"".join(infos[i].data for i in quick), np.uint8), np.array(starts), np.array(ends)) if quick else []
     out: list[list[np.ndarray]] = [[] for _ in streams]
-    at = 0
-    for i in quick:
-        n = len(infos[i].seek)
-        for point, frame in zip(infos[i].seek, decoded[at : at + n], strict=True):
-            out[i].append(plain_frame(infos[i], infos[i].audio + point[1])[0] if frame is None else frame.reshape(1, -1))
-        at += n
+    for group in _windows([len(infos[i].seek) for i in quick], max(limit // BLOCK, 1)):
+        # Seek points a..b of a stream: the bytes from frame a to where frame b begins.
+        body, starts, ends, base = [], [], [], 0
+        for q, a, b in group:
+            info = infos[quick[q]]
+            own = [p[1] for p in info.seek[a : b + 1]] + ([len(info.data) - info.audio] if b == len(info.seek) else [])
+            starts += [base + x - own[0] for x in own[:-1]]
+            ends += [base + x - own[0] for x in own[1:]]
+            body.append(info.data[info.audio + own[0] : info.audio + own[-1]])
+            base += len(body[-1])
+        if any(y - x < 3 for x, y in zip(starts, ends, strict=True)) or (ends and ends[-1] != base) or sum(map(len, body)) != base:
+            raise ValueError("seek points out of order")
+        decoded = iter(decode_frames(np.frombuffer(b"".join(body), np.uint8), np.array(starts), np.array(ends)))
+        for q, a, b in group:
+            i = quick[q]
+            for point in infos[i].seek[a:b]:
+                frame = next(decoded)
+                out[i].append(plain_frame(infos[i], infos[i].audio + point[1])[0] if frame is None else frame.reshape(1, -1))
     for i, info in enumerate(infos):
         if not out[i]:
             p = info.audio
             while p < len(info.data):
                 frame, p = plain_frame(info, p)
                 out[i].append(frame)
-        # MD5 of interleaved samples, little-endian, in whole bytes; zero: not known.
+        # MD5 of interleaved samples in whole bytes; zero: not known.
         if any(info.md5):
-            width = -(-info.bits // 8)
-            inter = np.concatenate([f.T.reshape(-1) for f in out[i]]) if out[i] else np.zeros(0, np.int64)
-            pcm = inter.astype(np.int8).tobytes() if width == 1 else np.ascontiguousarray(inter.astype("<i8").reshape(-1, 1).view(np.uint8)[:, :width]).tobytes()
-            if hashlib.md5(pcm).digest() != info.md5:
+            md5 = hashlib.md5()
+            for f in out[i]:
+                md5.update(_pcm_bytes(f, -(-info.bits // 8)))
+            if md5.digest() != info.md5:
                 raise ValueError("samples do not match the stream's MD5")
     return out
 
@@ -641,6 +685,25 @@ def pcm_blocks(media: DataFrame, key: str = "doc_id", column: str = "media") ->
     return rows.mapInArrow(run, f"{key} {key_type}, block bigint, sample_offset bigint, n_samples bigint, channels int, pcm binary")
 
 
+def stored_media(media: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write media to ``folder`` (the shared checkpoint folder unless given) and read them back."""
+    spark = media.sparkSession
+    at = folder or f"{ensure_checkpoint_dir(spark)}/media-{uuid.uuid4().hex}"
+    media.write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def write_pcm(media: DataFrame, folder: str, key: str = "doc_id", column: str = "media") -> DataFrame:
+    """Write the PCM blocks of media to ``folder``, each task's in order of key and sample, and read them."""
+    pcm_blocks(media, key, column).sortWithinPartitions(key, "sample_offset").write.parquet(folder)
+    return media.sparkSession.read.parquet(folder)
+
+
+def seek_samples(blocks: DataFrame, start: int, stop: int) -> DataFrame:
+    """The blocks that hold samples ``start`` to ``stop``: the file reader skips others by their offset."""
+    return blocks.where((F.col("sample_offset") < stop) & (F.col("sample_offset") > start - MAX_BLOCK) & (F.col("sample_offset") + F.col("n_samples") > start))
+
+
 def media_features(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """(key, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), from the decoded samples."""
     key_type = media.schema[key].dataType.simpleString()
@@ -651,10 +714,13 @@ def media_features(media: DataFrame, key: str = "doc_id", column: str = "media")
             rows = []
             for stored, frames in zip(media_bytes, decoded, strict=True):
                 payload = payload_of(frames)
-                s = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
-                changes = int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))
-                energy = int((s * s).sum())
-                feature = f"flac 8 bit {RATE} Hz frames={len(frames)} peak={int(np.abs(s).max())} energy={energy} sum={int(s.sum())} crossings={changes}"
+                peak = energy = total = changes = 0
+                for a in range(0, len(payload), SLICE):  # each stretch with the sample before it
+                    s = np.frombuffer(payload, np.uint8)[max(a - 1, 0) : a + SLICE].astype(np.int64) - 128
+                    changes += int(np.count_nonzero((s[1:] < 0) != (s[:-1] < 0)))
+                    s = s[a > 0 :]
+                    peak, energy, total = max(peak, int(np.abs(s).max())), energy + int((s * s).sum()), total + int(s.sum())
+                feature = f"flac 8 bit {RATE} Hz frames={len(frames)} peak={peak} energy={energy} sum={total} crossings={changes}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("n_bytes"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
