@@ -1,7 +1,8 @@
 """Packing of tokenised documents into sequences of bounded length.
 
 Each document becomes its token ids plus one end id, cut into pieces of at most
-``capacity`` ids.  Pieces are dealt into randomised groups by a seeded hash; each
+``capacity`` ids.  Pieces are dealt into randomised groups by a seeded hash of their
+row number, so equal rows spread like any others; each
 group is packed on its own by first-fit decreasing, where a tournament tree over
 the bins' free space finds the first bin that fits in logarithmic time.  Only
 piece descriptions are shuffled, never ids.  The number of groups follows the
@@ -11,7 +12,7 @@ one long document are spread over groups.
 Sequences longer than their content are padded to the capacity, except where the
 content is a power of two.  Defined results: null text is empty and packs its
 end id alone; repeated rows are packed once each (their pieces tie, broken by
-key and start); an empty table gives an empty result; other columns are dropped.
+key and start); an empty table gives an empty result; other columns are dropped; a key named as an output column is refused.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ CACHE_CHARS = 48
 _TAILS = (".", ",")
 #: A group's sequence ids start at its number times this.
 GROUP_STRIDE = 1 << 32
+OUTPUT = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length", "pack_group")
 
 
 class TournamentTree:
@@ -149,6 +151,8 @@ def _encoder(vocab_path: str) -> IdEncoder:
 
 def pieces(docs: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(key, start, length, ids_crc32, doc_tokens) of each piece."""
+    if key in OUTPUT:
+        raise ValueError(f"the key must not be called {key!r}: that is an output column")
     key_type = docs.schema[key].dataType.simpleString()
     schema = f"{key} {key_type}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     end = np.array([end_id], "<u4")
@@ -175,7 +179,7 @@ def pack(docs: DataFrame, vocab_path: str, key: str = "doc_id", text: str = "tex
     """Pieces with their sequence_id and offset, and the length the sequence is padded to."""
     cut = pieces(docs, vocab_path, key, text, capacity, end_id)
     groups = max(1, -(-docs.count() // group_docs))
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64(F.col(key), F.col("start"), F.col("ids_crc32"), F.lit(seed)), F.lit(groups)))
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)))
     names = cut.columns
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
