@@ -43,8 +43,10 @@ WINDOW = 50
 #: Pairs of hash and document that a task holds before it sends them on.
 PAIRS = 1 << 20
 #: Each task sends one block to each bucket, so more buckets mean smaller blocks; a
-#: bucket is what is sorted at once.
+#: bucket is what is sorted at once, so there is at least one for each ``BUCKET_BYTES``
+#: of text, whatever the number of partitions.
 BUCKETS_A_PARTITION = 3
+BUCKET_BYTES = 128 << 20
 #: Perfect difference sets, by period.
 COVERS = {
     1: (0,),
@@ -308,7 +310,8 @@ def _repeats(rows: DataFrame, window: int) -> DataFrame:
     if key_type not in arrow_types:
         raise ValueError("the key must be an integer column")
     partitions = parallel_partitions(rows.sparkSession)
-    spec = _Rows(arrow_types[key_type], partitions * BUCKETS_A_PARTITION)
+    text_bytes = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    spec = _Rows(arrow_types[key_type], max(partitions * BUCKETS_A_PARTITION, -(-text_bytes // BUCKET_BYTES)))
     period = period_for(window)
 
     def anchors(batches):
