@@ -5,9 +5,9 @@ built from word numbers; a document's words stream through it and the longest
 match ending at each word is tracked.  A match of ``window`` words, or of a whole
 shorter item, is an occurrence; the state reached names the items.
 
-Only the item side is broadcast, in blocks of at most ``BLOCK_WORDS`` item words;
-with more items the documents pass once for each block, and the passes' spans are
-joined in the rows themselves, so memory stays bounded.  Before streaming, each
+Only the item side is broadcast, in blocks of about ``BLOCK_WORDS`` item words, each
+built by a task; with more items the documents pass once for each block, and the
+passes' spans are joined in the rows themselves, so memory stays bounded.  Before streaming, each
 batch drops words that no item has and word pairs that no item has: no match can
 cross them, so runs between them are streamed alone, and runs shorter than the
 shortest window are skipped.
@@ -21,8 +21,10 @@ columns of the documents are kept by ``remove_contamination`` and dropped by
 
 from __future__ import annotations
 
+import functools
+import pickle
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,18 +186,38 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_blocks(items: DataFrame, key: str, text: str, window: int, block_words: int):
-    """Indexes of at most about ``block_words`` words each; rows arrive one partition at a time."""
-    block, size = [], 0
-    for row in items.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).toLocalIterator():
-        words = normal_words(pa.array([row.t]))
-        tokens = [words.words[c] for c in words.codes]
-        if block and size + len(tokens) > block_words:
-            yield ItemIndex(block, window)
-            block, size = [], 0
-        block.append((row.k, tokens))
-        size += len(tokens)
-    yield ItemIndex(block, window)
+def item_blocks(items: DataFrame, key: str, text: str, window: int, block_words: int) -> Iterator[bytes]:
+    """Pickled indexes of about ``block_words`` words each: built by tasks, handed over one at a time.
+
+    Items are dealt into blocks by a hash, so many items of one id spread as well.
+    """
+    named = items.select(F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+
+    def sized(batches):
+        for whole in batches:
+            for batch in byte_slices(whole, "t"):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(normal_words(batch.column("t")).offsets))], names=["k", "t", "n"])
+
+    counted = named.mapInArrow(sized, "k string, t string, n bigint").where("n > 0")
+    blocks = max(1, -(-(counted.agg(F.sum("n")).first()[0] or 0) // block_words))
+
+    def build(group: pa.Table) -> pa.Table:
+        number_, rows = group.column("block")[0].as_py(), []
+        for k, t in zip(group.column("k").to_pylist(), group.column("t").to_pylist(), strict=True):
+            words = normal_words(pa.array([t]))
+            rows.append((k, [words.words[c] for c in words.codes]))
+        return pa.table({"block": pa.array([number_], pa.int32()), "index": pa.array([pickle.dumps(ItemIndex(rows, window))], pa.binary())})
+
+    dealt = counted.select("k", "t", F.pmod(F.xxhash64("k", "t"), F.lit(blocks)).cast("int").alias("block"))
+    built = cut_lineage(dealt.groupBy("block").applyInArrow(build, "block int, index binary"))
+    for b in range(blocks):
+        row = built.where(F.col("block") == b).first()
+        yield row["index"] if row else pickle.dumps(ItemIndex([], window))
+
+
+@functools.lru_cache(2)
+def _unpickled(data: bytes) -> ItemIndex:
+    return pickle.loads(data)
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
@@ -216,7 +238,7 @@ def annotate(docs: DataFrame, items: DataFrame, keep: list[str], text: str, fini
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches, shared=shared, last=following is None):
-            index = shared.value
+            index = _unpickled(shared.value)
             span_type, name_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())
             for whole in batches:
                 for batch in byte_slices(whole, "t"):
@@ -237,6 +259,7 @@ def annotate(docs: DataFrame, items: DataFrame, keep: list[str], text: str, fini
         rows = rows.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
         if following is not None:
             rows = cut_lineage(rows)
+            shared.destroy()
         index = following
     return rows
 
