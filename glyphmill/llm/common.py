@@ -22,13 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; one of our own only where none is configured."""
+    """The shared checkpoint folder; one of our own only in local mode, where none is configured."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if current:
         return current
-    target = configured or tempfile.mkdtemp(prefix="glyphmill-ckpt-")
+    target = sc.getConf().get("spark.checkpoint.dir", None)
+    if target is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        target = tempfile.mkdtemp(prefix="glyphmill-ckpt-")
     sc.setCheckpointDir(target)
     return target
 
