@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all documents that the stage
 before it kept.  All but the last return the columns of ``documents``; a stage
 that changes texts keeps ``n_chars`` in step.
+
+Defined results: null and empty texts, and texts without a letter, go in the first
+stage; any other column may be null.  Rows that repeat an id count as one document
+and stay or go together; of equal or linked texts the smallest id stays; rows with a
+null id are kept and packed, and affect no other row.  Further columns go through all
+stages but the last, whatever their names, with or without ``n_chars``.  Empty tables
+give an empty result.
 """
 
 from __future__ import annotations
