@@ -96,14 +96,15 @@ def no_cycle_collection():
             gc.enable()
 
 
-def bounded_texts(docs: DataFrame, key: str, text: str, by: str | None, n: int, size: int, labels: DataFrame | None = None, seed: int = 11):
+def bounded_texts(docs: DataFrame, key: str, text: str, by: str | None, n: int, size: int, labels: DataFrame | None = None, seed: int = 11, most: int = 500):
     """A sample of whole texts ``t`` of each value ``y``, as a pandas frame in hash order of the key.
 
     For each value, keys are taken by their hash until there are ``n`` texts or the
     texts taken hold ``size`` bytes, whatever the length of each; so a sample exceeds
     ``size`` by less than its last text, and a value with rows is never left out.
-    ``y`` is the column ``by`` of ``docs``, or comes from ``labels`` (key, y).  It must
-    have few values.
+    ``y`` is the column ``by`` of ``docs``, or comes from ``labels`` (key, y).  Of more
+    than ``most`` values the most frequent are learned from, ties by value, so a column
+    of many stray values sends no more than that to the driver.
 
     Three passes: a count of each value, the hashes and lengths of about ``n`` keys,
     then the texts below the hash where each value's sample ends.  No task and no node
@@ -138,7 +139,7 @@ def bounded_texts(docs: DataFrame, key: str, text: str, by: str | None, n: int,
         return found[(found.groupby("y").cumcount() < n) & (before < size)]
 
     sizes = F.octet_length("t").cast("long")
-    counts = {r[0]: r[1] for r in rows(sizes).groupBy("y").count().collect()}
+    counts = {r[0]: r[1] for r in rows(sizes).groupBy("y").count().orderBy(F.desc("count"), "y").limit(most).collect()}
     if not counts:
         return rows(F.col("t")).limit(0).toPandas()
     shares = {v: min(1.0, n / c) for v, c in counts.items()}

@@ -58,3 +58,12 @@ def test_run_on_awkward_rows(spark, tmp_path):
         assert (len(out) > 0) == bool(part)
         if part:
             assert 2 not in {r.doc_id for r in out} and 1 in {r.doc_id for r in out}
+
+
+def test_further_columns_go_through(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).drop("n_chars").selectExpr("*", "source AS t", "lang AS k", "'x' AS many", "1 AS fp", "2 AS n_words", "null AS score")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert rows and all(r.t == r.source and r.k == r.lang and (r.many, r.fp, r.n_words, r.score) == ("x", 1, 2, None) for r in rows), name

@@ -41,3 +41,9 @@ def test_gradients_of_slices_sum_to_those_of_the_batch(monkeypatch):
     sliced = net.sliced_gradients(texts, y)
     for name, g in net.gradients(texts, y).items():
         assert np.allclose(sliced[name], g, atol=1e-6, rtol=1e-3)
+
+
+def test_most_frequent_values_only(spark):
+    docs = spark.createDataFrame([(i, "text", f"l{min(i, 7)}") for i in range(20)], "doc_id long, text string, lang string")
+    found = bounded_texts(docs, "doc_id", "text", "lang", 5, 1000, most=3)
+    assert sorted(found["y"].unique()) == ["l0", "l1", "l7"] and (found["y"] == "l7").sum() == 5
