@@ -38,7 +38,18 @@ class Analyzer:
         raise NotImplementedError
 
     def to_json(self) -> dict:
-        raise NotImplementedError
+        """The registered name of exactly this class, and what ``from_json`` needs."""
+        name = next((n for n, kind in ANALYZERS.items() if kind is type(self)), None)
+        if name is None:
+            raise ValueError(f"{type(self).__name__} is not registered: a stored index could not be read with it")
+        return {"kind": name} | self.options()
+
+    def options(self) -> dict:
+        return {}
+
+    @classmethod
+    def from_json(cls, options: dict) -> Analyzer:
+        return cls(**options)
 
     def __eq__(self, other) -> bool:
         return type(self) is type(other) and self.to_json() == other.to_json()
@@ -56,9 +67,6 @@ class CaseFolder(Analyzer):
     def spans(self, tokens):
         return [(t.lower(), a, b) for t, a, b in tokens]
 
-    def to_json(self):
-        return {"kind": "case_folder"}
-
 
 class Tokenizer(Analyzer):
     """Tokens are the matches of a pattern; classes such as ``\\w`` are Unicode classes."""
@@ -78,8 +86,8 @@ class Tokenizer(Analyzer):
     def spans(self, tokens):
         return [(m.group(), a + m.start(), a + m.end()) for t, a, _ in tokens for m in self._compiled.finditer(t)]
 
-    def to_json(self):
-        return {"kind": "tokenizer", "pattern": self.pattern}
+    def options(self):
+        return {"pattern": self.pattern}
 
 
 class Stopalizer(Analyzer):
@@ -98,8 +106,8 @@ class Stopalizer(Analyzer):
     def spans(self, tokens):
         return [t for t in tokens if t[0] not in self._set]
 
-    def to_json(self):
-        return {"kind": "stopalizer", "language": self.language} if self.language else {"kind": "stopalizer", "stoplist": self.words}
+    def options(self):
+        return {"language": self.language} if self.language else {"stoplist": self.words}
 
 
 class Stemmer(Analyzer):
@@ -114,8 +122,8 @@ class Stemmer(Analyzer):
     def spans(self, tokens):
         return [(stem_word(t, self.language), a, b) for t, a, b in tokens]
 
-    def to_json(self):
-        return {"kind": "stemmer", "language": self.language}
+    def options(self):
+        return {"language": self.language}
 
 
 class PolyAnalyzer(Analyzer):
@@ -147,20 +155,26 @@ class PolyAnalyzer(Analyzer):
             tokens = a.spans(tokens)
         return tokens
 
-    def to_json(self):
-        return {"kind": "poly", "analyzers": [a.to_json() for a in self.analyzers]}
+    def options(self):
+        return {"analyzers": [a.to_json() for a in self.analyzers]}
+
+    @classmethod
+    def from_json(cls, options):
+        return cls(analyzers=[analyzer_from_json(a) for a in options["analyzers"]])
+
+
+ANALYZERS: dict[str, type[Analyzer]] = {"case_folder": CaseFolder, "tokenizer": Tokenizer, "stopalizer": Stopalizer, "stemmer": Stemmer, "poly": PolyAnalyzer}
+
+
+def register_analyzer(name: str, kind: type[Analyzer]) -> None:
+    """Let stored indexes name an analyzer class; whoever opens them registers it as well.
+
+    A class with other parameters than its base overrides ``options``.
+    """
+    ANALYZERS[name] = kind
 
 
 def analyzer_from_json(data: dict) -> Analyzer:
-    kind = data["kind"]
-    if kind == "case_folder":
-        return CaseFolder()
-    if kind == "tokenizer":
-        return Tokenizer(data["pattern"])
-    if kind == "stopalizer":
-        return Stopalizer(data.get("language"), data.get("stoplist"))
-    if kind == "stemmer":
-        return Stemmer(data["language"])
-    if kind == "poly":
-        return PolyAnalyzer(analyzers=[analyzer_from_json(a) for a in data["analyzers"]])
-    raise ValueError(f"unknown analyzer {kind!r}")
+    if data["kind"] not in ANALYZERS:
+        raise ValueError(f"unknown analyzer {data['kind']!r}; register_analyzer makes it known")
+    return ANALYZERS[data["kind"]].from_json({k: v for k, v in data.items() if k != "kind"})

@@ -52,7 +52,8 @@ class Similarity:
     def query_norm(self, sum_of_squares: float) -> float:
         return 1.0 / math.sqrt(sum_of_squares) if sum_of_squares else 0.0
 
-    def coord(self, overlap: int, most: int) -> float:
+    def coord(self, overlap: Column | int, most: int) -> Column | float:
+        """Factor for matching ``overlap`` of ``most`` clauses; queries pass a column."""
         return overlap / most if most else 1.0
 
     def field_norm(self, n_tokens: Column, boost: Column) -> Column:
@@ -67,3 +68,8 @@ class LongFieldSimilarity(Similarity):
 
 
 SIMILARITIES = {"default": Similarity, "long_field": LongFieldSimilarity}
+
+
+def register_similarity(name: str, kind: type[Similarity]) -> None:
+    """Let field types name a similarity; readers of a stored index need it too."""
+    SIMILARITIES[name] = kind

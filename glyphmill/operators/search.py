@@ -8,9 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.similarity import Similarity
+from glyphmill.operators.docset import DocSet
 from glyphmill.plans.compiler import Statistics, needs
 from glyphmill.plans.parser import QueryParser
 from glyphmill.plans.query import NoMatchQuery, Query
+from glyphmill.plans.schema import Schema
 from glyphmill.sources.reader import matches
 
 
@@ -41,14 +44,16 @@ class SortSpec:
     def fields(self) -> list[str]:
         return [r.field for r in self.rules if r.kind == "field"]
 
-    def columns(self, key: str) -> list:
-        """Sort columns; missing values come last, or first when reversed; ids break ties."""
+    def columns(self, key: str, schema=None) -> list:
+        """Sort columns, by a field's own comparison; missing values come last, or first when reversed; ids break ties."""
         out = []
         for r in self.rules:
             if r.kind == "score":
                 out.append(F.col("score").asc() if r.reverse else F.col("score").desc())
             else:
                 c = F.col(r.field if r.kind == "field" else key)
+                if r.kind == "field" and schema is not None:
+                    c = schema.type_of(r.field).sort_key(c)
                 out.append(c.desc_nulls_first() if r.reverse else c.asc_nulls_last())
         return [*out, F.col(key).asc()]
 
@@ -59,12 +64,11 @@ class SortSpec:
 BY_SCORE = SortSpec([SortRule("score"), SortRule("doc_id")])
 
 
-class Searcher:
-    """Searches one source of documents."""
+class _Search:
+    """What all searchers share: they differ in ``collect`` and ``_stored``."""
 
-    def __init__(self, source, parser: QueryParser | None = None):
-        self.source, self.schema, self.key = source, source.schema, source.key
-        self.parser = parser or QueryParser(self.schema)
+    schema: Schema
+    key: str
 
     def glean(self, query: str | Query | None) -> Query:
         if query is None:
@@ -77,36 +81,60 @@ class Searcher:
                 raise ValueError(f"field {name!r} is not sortable")
         return sort or BY_SCORE
 
-    def collect(self, query: str | Query | None, columns: list[str] = (), need_score: bool = True) -> DataFrame:
-        """All matching documents; group, count or join them like any frame."""
-        return matches(self.source, self.glean(query), list(columns), need_score)
+    def collect(self, query: str | Query | None, columns: list[str] = (), need_score: bool = True, within: DocSet | None = None) -> DataFrame:
+        raise NotImplementedError
+
+    def _stored(self) -> DataFrame:
+        raise NotImplementedError
 
     def total_hits(self, query: str | Query | None) -> int:
         return self.collect(query, need_score=False).count()
 
-    def top_docs(self, query: str | Query | None, num_wanted: int = 10, offset: int = 0, sort: SortSpec | None = None, round_score: int | None = None) -> DataFrame:
+    def docset(self, query: str | Query | None) -> DocSet:
+        """The matching documents as a set; ``persist`` it to filter many searches by it."""
+        return DocSet(self.collect(query, need_score=False).select(self.key), self.key)
+
+    def top_docs(self, query: str | Query | None, num_wanted: int = 10, offset: int = 0, sort: SortSpec | None = None, round_score: int | None = None, within: DocSet | None = None) -> DataFrame:
         spec = self._checked(sort)
-        found = self.collect(query, spec.fields(), spec.needs_score())
+        found = self.collect(query, spec.fields(), spec.needs_score(), within)
         if round_score is not None:
             found = found.withColumn("score", F.round("score", round_score))
-        top = found.orderBy(*spec.columns(self.key))
+        top = found.orderBy(*spec.columns(self.key, self.schema))
         return (top.offset(offset) if offset else top).limit(num_wanted)
 
-    def hits(self, query: str | Query | None, num_wanted: int = 10, offset: int = 0, sort: SortSpec | None = None) -> DataFrame:
-        """Top documents with their stored fields, best first."""
+    def hits(self, query: str | Query | None, num_wanted: int = 10, offset: int = 0, sort: SortSpec | None = None, within: DocSet | None = None) -> DataFrame:
+        """Top documents with their stored fields, best first; fields that are only sortable are left out.
+
+        The page is joined by key; adaptive execution sends it around if it is small.
+        """
         spec = self._checked(sort)
-        top = self.top_docs(query, num_wanted, offset, sort)
-        stored = self.source.stored()
-        names = [n for n in stored.columns if n == self.key or n not in self.schema.fields or self.schema.fields[n].stored]
-        # A page of hits is small by its limit, so it is the side to send around.
-        page = F.broadcast(top.select(self.key, "score")) if num_wanted <= 100_000 else top.select(self.key, "score")
-        return stored.select(*names).join(page, self.key).orderBy(*spec.columns(self.key))
+        page = self.top_docs(query, num_wanted, offset, sort, within=within).select(self.key, "score")
+        found = self._stored().join(page, self.key).orderBy(*spec.columns(self.key, self.schema))
+        hidden = [n for n, kind in self.schema.fields.items() if not kind.stored and n != self.key]
+        return found.drop(*hidden)
+
+
+class Searcher(_Search):
+    """Searches one source of documents."""
+
+    def __init__(self, source, parser: QueryParser | None = None, similarity: Similarity | None = None):
+        self.source, self.schema, self.key = source, source.schema, source.key
+        self.parser = parser or QueryParser(self.schema)
+        self.similarity = similarity
+
+    def collect(self, query: str | Query | None, columns: list[str] = (), need_score: bool = True, within: DocSet | None = None) -> DataFrame:
+        """All matching documents; group, count or join them like any frame."""
+        found = matches(self.source, self.glean(query), list(columns), need_score, similarity=self.similarity)
+        return within.of(found) if within is not None else found
+
+    def _stored(self) -> DataFrame:
+        return self.source.stored()
 
     def statistics(self, query: Query) -> Statistics:
         return self.source.statistics(needs(query))
 
 
-class PolySearcher:
+class PolySearcher(_Search):
     """Several sources with one schema, searched as one: figures are summed, ids shifted."""
 
     def __init__(self, searchers: list[Searcher], offsets: list[int] | None = None):
@@ -122,23 +150,22 @@ class PolySearcher:
         out, at = [], 0
         for s in self.searchers:
             out.append(at)
-            at += (s.source.stored().agg(F.max(s.key)).first()[0] or -1) + 1
+            at += (-1 if (last := s.source.stored().agg(F.max(s.key)).first()[0]) is None else last) + 1
         return out
 
     def statistics(self, query: Query) -> Statistics:
         parts = [s.statistics(query) for s in self.searchers]
         return Statistics(sum(p.total for p in parts), {t: sum(p.doc_freq.get(t, 0) for p in parts) for t in parts[0].doc_freq})
 
-    def collect(self, query: str | Query | None, columns: list[str] = (), need_score: bool = True) -> DataFrame:
-        q = self.searchers[0].glean(query)
-        shared = self.statistics(q)
-        parts = [matches(s.source, q, list(columns), need_score, shared).withColumn(self.key, F.col(self.key) + F.lit(o)) for s, o in zip(self.searchers, self.offsets, strict=True)]
-        return reduce(DataFrame.unionByName, parts)
+    def _shifted(self, frames: list[DataFrame]) -> DataFrame:
+        moved = [f.withColumn(self.key, F.col(self.key) + F.lit(o)) for f, o in zip(frames, self.offsets, strict=True)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), moved)
 
-    def total_hits(self, query: str | Query | None) -> int:
-        return self.collect(query, need_score=False).count()
+    def collect(self, query: str | Query | None, columns: list[str] = (), need_score: bool = True, within: DocSet | None = None) -> DataFrame:
+        q = self.glean(query)
+        shared = self.statistics(q)
+        found = self._shifted([matches(s.source, q, list(columns), need_score, shared, s.similarity) for s in self.searchers])
+        return within.of(found) if within is not None else found
 
-    def top_docs(self, query: str | Query | None, num_wanted: int = 10, offset: int = 0, sort: SortSpec | None = None) -> DataFrame:
-        spec = self.searchers[0]._checked(sort)
-        top = self.collect(query, spec.fields(), spec.needs_score()).orderBy(*spec.columns(self.key))
-        return (top.offset(offset) if offset else top).limit(num_wanted)
+    def _stored(self) -> DataFrame:
+        return self._shifted([s._stored() for s in self.searchers])

@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.similarity import Similarity
 
-from .query import ANDQuery, FilterQuery, LeafQuery, MatchAllQuery, NoMatchQuery, NOTQuery, ORQuery, PhraseQuery, PolyQuery, PrefixQuery, ProximityQuery, Query, RangeQuery, RequiredOptionalQuery, TermQuery
+from .query import ANDQuery, CustomQuery, FilterQuery, LeafQuery, MatchAllQuery, NoMatchQuery, NOTQuery, ORQuery, PhraseQuery, PolyQuery, PrefixQuery, ProximityQuery, Query, RangeQuery, RequiredOptionalQuery, TermQuery
 from .schema import Schema
 
 
-
 @dataclass
 class Needs:
     """What a query reads: terms by field, which of them with positions, prefixes, stored columns."""
@@ -38,11 +37,16 @@ class Needs:
         return sorted({f for f, _ in self.terms})
 
 
+KNOWN = (TermQuery, PhraseQuery, ProximityQuery, PrefixQuery, RangeQuery, MatchAllQuery, NoMatchQuery, LeafQuery, PolyQuery, NOTQuery, RequiredOptionalQuery, FilterQuery, CustomQuery)
+
+
 def needs(query: Query) -> Needs:
     out = Needs()
 
     def walk(q: Query) -> bool:
         """Collects; returns whether the query can match a document without its terms."""
+        if isinstance(q, CustomQuery):
+            return q.needs(out)
         if isinstance(q, TermQuery):
             out.terms.setdefault((q.field, q.term), False)
             return False
@@ -60,6 +64,8 @@ def needs(query: Query) -> Needs:
             return True
         if isinstance(q, LeafQuery):
             raise ValueError("a leaf of a query string has to be expanded first")
+        if not isinstance(q, KNOWN):
+            raise TypeError(f"{type(q).__name__} is no query that can be compiled: derive it from CustomQuery")
         open_ = [walk(c) for c in q.children()]
         if isinstance(q, MatchAllQuery | NOTQuery):
             return True
@@ -131,6 +137,8 @@ class Compiler:
 
     def _sum_of_squares(self, q: Query, boost: float) -> float:
         boost = boost * q.boost
+        if isinstance(q, CustomQuery):
+            return q.sum_of_squares(self, boost)
         if isinstance(q, TermQuery | PhraseQuery | ProximityQuery):
             return (self._idf(q) * boost) ** 2
         if isinstance(q, NOTQuery):
@@ -139,6 +147,26 @@ class Compiler:
             return sum(self._sum_of_squares(c, boost) for c in q.children()) * boost * boost
         return 1.0
 
+    # For custom queries.
+
+    def frequency(self, field_name: str, term: str) -> Column:
+        """How often a term, which the query's ``needs`` must name, occurs in the document."""
+        return self._tf(field_name, term)
+
+    def positions(self, field_name: str, term: str) -> Column:
+        """Its positions, null where it does not occur; ``needs`` must ask for them."""
+        return F.col(positions_name(self._index[(field_name, term)]))
+
+    def norm(self, field_name: str) -> Column:
+        return F.coalesce(F.col(norm_name(field_name)), F.lit(0.0))
+
+    def idf(self, field_name: str, term: str) -> float:
+        return self._idf(TermQuery(field_name, term))
+
+    @property
+    def query_norm(self) -> float:
+        return self._query_norm
+
     def _weight(self, q: Query, boost: float) -> float:
         idf = self._idf(q)
         return idf * boost * idf * self._query_norm
@@ -188,6 +216,8 @@ class Compiler:
     def _match(self, q: Query) -> Column:
         if not self._alive(q) or isinstance(q, NoMatchQuery):
             return F.lit(False)
+        if isinstance(q, CustomQuery):
+            return F.coalesce(q.match(self), F.lit(False))
         if isinstance(q, TermQuery | PhraseQuery | ProximityQuery):
             if isinstance(q, TermQuery) or len(q.terms) == 1:
                 return self._frequency(q) > 0
@@ -217,11 +247,13 @@ class Compiler:
         kind = self.schema.type_of(q.field)
         if not kind.sortable:
             raise ValueError(f"field {q.field!r} is not sortable")
-        c, ok = F.col(q.field), F.lit(True)
+        c, ok = kind.sort_key(F.col(q.field)), F.lit(True)
         if q.lower is not None:
-            ok = ok & ((c >= q.lower) if q.include_lower else (c > q.lower))
+            bound = kind.sort_key(F.lit(q.lower))
+            ok = ok & ((c >= bound) if q.include_lower else (c > bound))
         if q.upper is not None:
-            ok = ok & ((c <= q.upper) if q.include_upper else (c < q.upper))
+            bound = kind.sort_key(F.lit(q.upper))
+            ok = ok & ((c <= bound) if q.include_upper else (c < bound))
         return F.coalesce(ok, F.lit(q.nulls_match_open_upper and q.upper is None))
 
     def _score(self, q: Query, boost: float) -> Column:
@@ -229,6 +261,8 @@ class Compiler:
         boost = boost * q.boost
         if not self._alive(q):
             return F.lit(0.0)
+        if isinstance(q, CustomQuery):
+            return q.score(self, boost)
         if isinstance(q, TermQuery | PhraseQuery | ProximityQuery):
             kind, weight = self.schema.type_of(q.field), F.lit(self._weight(q, boost))
             if kind.posting == "match":
@@ -252,5 +286,5 @@ class Compiler:
                 m = self._match(c)
                 total = total + F.when(m, self._score(c, boost)).otherwise(F.lit(0.0))
                 count = count + m.cast("int")
-            return total if len(alive) < 2 else total * count / F.lit(float(len(alive)))
+            return total if len(alive) < 2 else total * self.similarity.coord(count, len(alive))
         return F.lit(0.0)

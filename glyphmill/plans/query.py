@@ -171,6 +171,35 @@ class FilterQuery(Query):
         return f"Filter({self.query})"
 
 
+@dataclass
+class CustomQuery(Query):
+    """A query of one's own: columns over the row of a document, as ``plans.compiler`` describes it.
+
+    ``compiler`` gives ``frequency``, ``positions``, ``norm``, ``idf`` and ``query_norm``.
+    """
+
+    def needs(self, out) -> bool:
+        """Enter terms, prefixes and columns into ``out``; whether documents can match without the terms."""
+        return True
+
+    def match(self, compiler):
+        raise NotImplementedError
+
+    def score(self, compiler, boost: float):
+        from pyspark.sql import functions as F
+
+        return F.lit(0.0)
+
+    def sum_of_squares(self, compiler, boost: float) -> float:
+        return 1.0
+
+
+def register_query(kind: type[Query]) -> type[Query]:
+    """Let ``from_json`` read queries of a class; usable as a decorator."""
+    _TYPES[kind.__name__] = kind
+    return kind
+
+
 _TYPES = {c.__name__: c for c in (TermQuery, PhraseQuery, ProximityQuery, PrefixQuery, RangeQuery, MatchAllQuery, NoMatchQuery, LeafQuery, ANDQuery, ORQuery, NOTQuery, RequiredOptionalQuery, FilterQuery)}
 
 

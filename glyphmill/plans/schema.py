@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from glyphmill.functions.analysis import Analyzer, analyzer_from_json
 from glyphmill.functions.similarity import SIMILARITIES, Similarity
 
 #: Spark type of each kind of field.
 KINDS = {"text": "string", "string": "string", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double", "blob": "binary"}
 
+#: Functions of a value whose results are compared in its place.
+COMPARISONS: dict[str, Callable[[Column], Column]] = {"natural": lambda value: value}
+
+
+def register_comparison(name: str, key: Callable[[Column], Column]) -> None:
+    """Let fields be sorted, and ranges be cut, by ``key`` of their values; readers need it too."""
+    COMPARISONS[name] = key
+
 
 @dataclass
 class FieldType:
@@ -25,6 +37,8 @@ class FieldType:
     #: What a posting counts for: "score" by frequency and length, "match" by its weight
     #: alone, "rich" by the mean of the boosts that the analyzer gives to its positions.
     posting: str = "score"
+    #: What values are compared by: a name in ``COMPARISONS``.
+    comparison: str = "natural"
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -38,9 +52,22 @@ class FieldType:
         if self.highlightable and self.kind != "text":
             raise ValueError("only full-text fields can be highlighted")
 
+        if self.similarity not in SIMILARITIES:
+            raise ValueError(f"unknown similarity {self.similarity!r}; register_similarity makes it known")
+        if self.comparison not in COMPARISONS:
+            raise ValueError(f"unknown comparison {self.comparison!r}; register_comparison makes it known")
+
     def sim(self) -> Similarity:
         return SIMILARITIES[self.similarity]()
 
+    def terms(self, value: Column) -> Column:
+        """The terms of a field's value: tokens of a text, else the value itself."""
+        return self.analyzer.terms(value) if self.kind == "text" else F.array(value.cast("string"))
+
+    def sort_key(self, value: Column) -> Column:
+        """What values are compared by, in sorting and in ranges."""
+        return COMPARISONS[self.comparison](value)
+
     def to_json(self) -> dict:
         data = {k: v for k, v in self.__dict__.items() if k != "analyzer"}
         return data | ({"analyzer": self.analyzer.to_json()} if self.analyzer else {})

@@ -1,35 +1,48 @@
 """A stored inverted index: immutable segments of Parquet under JSON manifests.
 
-    manifest-N.json         names the segments and deletions of generation N
-    seg-N/docs              stored fields, key, document boost
-    seg-N/postings/field=F  (term, key, tf, norm, positions), clustered by term
-    seg-N/lexicon           (field, term, doc_freq)
-    del-N                   deleted keys
+    manifest-N.json                names the segments and deletions of generation N
+    docs/seg=S                     stored fields and key
+    postings/seg=S/field=F         (term, key, tf, norm, positions), clustered by term
+    lexicon/seg=S                  (field, term, doc_freq)
+    extra-C/seg=S                  rows of a further component C
+    del-N                          (key, before): keys deleted from older segments
 
 A commit writes data first and then renames a manifest into place, so readers see
-all of it or nothing and keep their generation while later ones appear.  Postings
-are made document by document without a shuffle; one range exchange by
-(field, term, key) clusters them, the key keeping a frequent term spread out.
+all of it or nothing and keep their generation while later ones appear.
+
+A segment's name starts with its order.  A deletion holds for segments of a lower
+order than its ``before`` only, so a key can be deleted and added again.  All
+segments of a part are one read with ``seg`` as a partition column.
+
+Postings are made document by document and move once, to the partition of their
+term's hash; terms that a sample shows to be frequent are dealt over several
+partitions by the key.  So a text is tokenized once and a lookup reads few files.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import functools
+import itertools
 import json
+import math
 import operator
+import os
+import socket
 import time
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.plans.compiler import Needs, Statistics
 from glyphmill.plans.query import Query
 from glyphmill.plans.schema import KINDS, Schema
-from glyphmill.sources.reader import gathered, matches
+from glyphmill.sources.reader import gathered, matches, wanted_rows
 
 
 class Folder:
@@ -44,10 +57,13 @@ class Folder:
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def names(self) -> list[str]:
-        if not self._fs.exists(self._at("")):
+    def names(self, below: str = "") -> list[str]:
+        if not self._fs.exists(self._at(below)):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("")))
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(below)))
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
 
     def read(self, name: str) -> str:
         stream = self._fs.open(self._at(name))
@@ -80,18 +96,50 @@ class LockError(RuntimeError):
     pass
 
 
+def _alive(pid: int) -> bool:
+    try:
+        os.kill(pid, 0)
+    except ProcessLookupError:
+        return False
+    except PermissionError:
+        return True
+    return True
+
+
 class Lock:
-    """One holder at a time, by a file that only one can create."""
+    """One holder at a time, by a file that only one can create.
+
+    The file names its holder.  A lock is stale, and cleared by whoever wants it next,
+    if its process on this host is gone, or if it is older than ``max_age`` seconds.
+    """
 
-    def __init__(self, folder: Folder, name: str, timeout: float = 1.0):
-        self.folder, self.file, self.timeout = folder, f"{name}.lock", timeout
+    def __init__(self, folder: Folder, name: str, timeout: float = 1.0, max_age: float | None = None):
+        self.folder, self.file, self.timeout, self.max_age = folder, f"{name}.lock", timeout, max_age
         self.held = False
 
+    def holder(self) -> dict | None:
+        """Who holds the lock: host, process and time; None if nobody does."""
+        try:
+            return json.loads(self.folder.read(self.file))
+        except Exception:  # noqa: BLE001  gone, or not yet written
+            return None
+
+    def is_stale(self) -> bool:
+        who = self.holder()
+        if who is None:
+            return False
+        if who["host"] == socket.gethostname() and not _alive(who["pid"]):
+            return True
+        return self.max_age is not None and time.time() - who["since"] > self.max_age
+
     def obtain(self) -> Lock:
         until = time.monotonic() + self.timeout
-        while not self.folder.create(self.file, "held"):
+        while not self.folder.create(self.file, json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "since": time.time()})):
+            if self.is_stale():
+                self.folder.delete(self.file)
+                continue
             if time.monotonic() >= until:
-                raise LockError(f"{self.file} is held")
+                raise LockError(f"{self.file} is held by {self.holder()}")
             time.sleep(0.1)
         self.held = True
         return self
@@ -101,27 +149,49 @@ class Lock:
             self.folder.delete(self.file)
             self.held = False
 
+    def __enter__(self) -> Lock:
+        return self if self.held else self.obtain()
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
+def order_of(segment: str) -> int:
+    return int(segment[:10])
+
 
 @dataclass
 class Manifest:
     generation: int
     schema: Schema
     key: str
+    key_type: str
     segments: dict[str, int]  # name → documents, deleted ones included
-    deletions: list[str]
+    deletions: dict[str, int]  # name → the order that its segments are below
+    clock: int = 0  # the next segment's order
+    extras: dict[str, str] = field(default_factory=dict)  # component → its columns
 
     def dumps(self) -> str:
-        return json.dumps({"generation": self.generation, "schema": json.loads(self.schema.dumps()), "key": self.key, "segments": self.segments, "deletions": self.deletions}, sort_keys=True)
+        return json.dumps(self.__dict__ | {"schema": json.loads(self.schema.dumps())}, sort_keys=True)
 
     @classmethod
     def loads(cls, text: str) -> Manifest:
-        d = json.loads(text)
-        return cls(d["generation"], Schema.loads(json.dumps(d["schema"])), d["key"], d["segments"], d["deletions"])
+        data = json.loads(text)
+        return cls(**(data | {"schema": Schema.loads(json.dumps(data["schema"]))}))
 
 
-def latest(folder: Folder) -> Manifest | None:
-    found = [n for n in folder.names() if n.startswith("manifest-") and n.endswith(".json")]
-    return Manifest.loads(folder.read(found[-1])) if found else None
+def latest(folder: Folder, attempts: int = 3) -> Manifest | None:
+    """The newest manifest; looked for again if a purge takes it away meanwhile."""
+    for attempt in range(attempts):
+        found = [n for n in folder.names() if n.startswith("manifest-") and n.endswith(".json")]
+        if not found:
+            return None
+        try:
+            return Manifest.loads(folder.read(found[-1]))
+        except Exception:  # noqa: BLE001  the store's own exception type
+            if attempt == attempts - 1:
+                raise
+    return None
 
 
 def invert(docs: DataFrame, schema: Schema, key: str, boost: str | None = None) -> DataFrame:
@@ -156,7 +226,7 @@ def invert(docs: DataFrame, schema: Schema, key: str, boost: str | None = None)
     parts = []
     for name in schema.searchable():
         kind = schema.fields[name]
-        terms = kind.analyzer.terms(F.col(name)) if kind.kind == "text" else F.array(F.col(name).cast("string"))
+        terms = kind.terms(F.col(name))
         rows = docs.where(F.col(name).isNotNull()).select(F.lit(name).alias("field"), key, (F.col(boost) if boost else F.lit(1.0)).cast("double").alias("doc_boost"), terms.alias("terms"), (kind.analyzer.boosts(F.col(name)) if kind.posting == "rich" else F.lit(None)).cast("array<double>").alias("boosts"))
         postings = rows.mapInArrow(run, out_schema)
         norm = F.coalesce(F.col("mean_boost") * F.lit(kind.boost), kind.sim().field_norm(F.col("n_tokens"), F.col("doc_boost") * F.lit(kind.boost)))
@@ -168,49 +238,77 @@ class IndexReader:
     """One generation of an index, as a source of rows for queries."""
 
     def __init__(self, spark: SparkSession, path: str, generation: int | None = None):
+        found = latest(Folder(spark, path)) if generation is None else Manifest.loads(Folder(spark, path).read(f"manifest-{generation:010d}.json"))
+        if found is None:
+            raise FileNotFoundError(f"no index at {path}")
+        self._open(spark, path, found)
+
+    def _open(self, spark: SparkSession, path: str, manifest: Manifest) -> None:
         self.spark, self.path, self.folder = spark, path.rstrip("/"), Folder(spark, path)
-        if generation is None:
-            found = latest(self.folder)
-            if found is None:
-                raise FileNotFoundError(f"no index at {path}")
-        else:
-            found = Manifest.loads(self.folder.read(f"manifest-{generation:010d}.json"))
-        self.manifest, self.schema, self.key = found, found.schema, found.key
+        self.manifest, self.schema, self.key = manifest, manifest.schema, manifest.key
+
+    @classmethod
+    def over(cls, spark: SparkSession, path: str, manifest: Manifest) -> IndexReader:
+        """A reader of a state that has no manifest file (yet)."""
+        reader = object.__new__(cls)
+        reader._open(spark, path, manifest)
+        return reader
 
-    def _all(self, part: str) -> DataFrame | None:
-        """A part of all segments; later segments may have fields that earlier ones lack."""
-        frames = [self.spark.read.parquet(f"{self.path}/{s}/{part}") for s in self.manifest.segments]
-        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None
+    def pin(self) -> Lock:
+        """A shared lock: while it is held, ``purge`` keeps this generation."""
+        return Lock(self.folder, f"pin-{self.manifest.generation:010d}-{uuid.uuid4().hex}")
+
+    def _ddl(self, part: str) -> str:
+        key = f"`{self.key}` {self.manifest.key_type}"
+        if part == "docs":
+            return ", ".join([key, *(f"`{n}` {KINDS[t.kind]}" for n, t in self.schema.fields.items() if n != self.key and (t.stored or t.sortable))])
+        if part == "postings":
+            return f"term string, {key}, tf int, norm double, positions array<int>, field string"
+        if part == "lexicon":
+            return "field string, term string, doc_freq bigint"
+        return self.manifest.extras[part.removeprefix("extra-")]
+
+    def _all(self, part: str) -> DataFrame:
+        """A part of all segments in one read; fields that a segment lacks are null."""
+        ddl = self._ddl(part) + ", seg string"
+        paths = [f"{self.path}/{part}/seg={s}" for s in self.manifest.segments if self.folder.exists(f"{part}/seg={s}")]
+        if not paths:
+            return self.spark.createDataFrame([], ddl)
+        return self.spark.read.schema(ddl).option("basePath", f"{self.path}/{part}").parquet(*paths)
 
     def deleted(self) -> DataFrame | None:
-        frames = [self.spark.read.parquet(f"{self.path}/{d}") for d in self.manifest.deletions]
-        return functools.reduce(DataFrame.unionByName, frames) if frames else None
+        """(key, before): keys deleted from segments of an order below ``before``."""
+        oldest = min(map(order_of, self.manifest.segments), default=0)
+        paths = [f"{self.path}/{d}" for d, before in self.manifest.deletions.items() if before > oldest]
+        return self.spark.read.schema(f"`{self.key}` {self.manifest.key_type}, before int").parquet(*paths) if paths else None
 
-    def _live(self, rows: DataFrame) -> DataFrame:
+    def _live(self, rows: DataFrame, how: str = "left_anti") -> DataFrame:
+        """Rows of documents that no deletion names, without ``seg``; small deletions are sent around."""
         gone = self.deleted()
-        return rows if gone is None else rows.join(gone, self.key, "left_anti")
-
-    def _empty_docs(self) -> DataFrame:
-        fields = ", ".join(f"`{n}` {KINDS[t.kind]}" for n, t in self.schema.fields.items() if n != self.key)
-        return self.spark.createDataFrame([], f"{self.key} bigint" + (f", {fields}" if fields else ""))
+        if gone is None:
+            return rows.drop("seg") if how == "left_anti" else rows.limit(0).drop("seg")
+        gone = gone.select(F.col(self.key).alias(".gone"), "before")
+        hit = (F.col(self.key) == F.col("`.gone`")) & (F.substring("seg", 1, 10).cast("int") < F.col("before"))
+        return rows.join(gone, hit, how).drop("seg")
 
     def stored(self) -> DataFrame:
-        docs = self._all("docs")
-        return self._empty_docs() if docs is None else self._live(docs)
+        return self._live(self._all("docs"))
+
+    def component(self, name: str) -> DataFrame:
+        """Rows that the writer ``name`` made of the live documents."""
+        return self._live(self._all(f"extra-{name}"))
 
     def postings(self) -> DataFrame:
-        found = self._all("postings")
-        return self.spark.createDataFrame([], f"field string, term string, {self.key} bigint, tf int, norm double, positions array<int>") if found is None else found
+        """Postings with their segment, those of deleted documents included."""
+        return self._all("postings")
 
     def posting_list(self, field: str, term: str) -> DataFrame:
-        """Documents of a term in key order: the file reader prunes by field and term."""
+        """Documents of a term: the file reader prunes by field and term."""
         return self._live(self.postings().where((F.col("field") == field) & (F.col("term") == term)))
 
     def lexicon(self, field: str | None = None, seek: str | None = None) -> DataFrame:
         """(field, term, doc_freq) over all segments, deleted documents included; from ``seek`` on."""
         found = self._all("lexicon")
-        if found is None:
-            return self.spark.createDataFrame([], "field string, term string, doc_freq bigint")
         if field is not None:
             found = found.where(F.col("field") == field)
         if seek is not None:
@@ -225,8 +323,7 @@ class IndexReader:
         return sum(self.manifest.segments.values())
 
     def del_count(self) -> int:
-        gone = self.deleted()
-        return 0 if gone is None else gone.distinct().count()
+        return self._live(self._all("docs").select(self.key, "seg"), "left_semi").count()
 
     def doc_count(self) -> int:
         return self.doc_max() - self.del_count()
@@ -235,10 +332,16 @@ class IndexReader:
         return self.stored().where(F.col(self.key) == doc_id).first()
 
     def sort_column(self, field: str) -> DataFrame:
+        """(key, value) of a sortable field."""
         if not self.schema.type_of(field).sortable:
             raise ValueError(f"field {field!r} is not sortable")
         return self.stored().select(self.key, field)
 
+    def unique_values(self, field: str) -> DataFrame:
+        """Distinct values of a sortable field in its order, with their numbers of documents."""
+        order = self.schema.type_of(field).sort_key(F.col(field)).asc_nulls_last()
+        return self.sort_column(field).groupBy(field).agg(F.count("*").alias("n_docs")).orderBy(order)
+
     # What queries read.
 
     def statistics(self, need: Needs) -> Statistics:
@@ -251,45 +354,72 @@ class IndexReader:
         return Statistics(self.doc_max(), found)
 
     def rows(self, need: Needs, columns: list[str]) -> DataFrame:
-        by_doc = gathered(self.postings(), need, self.key)
+        by_doc = gathered(self._live(self.postings().where(wanted_rows(need))), need, self.key)
         columns = list(dict.fromkeys(c for c in [*need.columns, *columns] if c != self.key))
         if need.all_documents or columns:
             docs = self.stored().select(self.key, *columns)
             return docs.join(by_doc, self.key, "left" if need.all_documents else "inner")
-        return self._live(by_doc)
+        return by_doc
 
 
 def fibonacci(n: int) -> int:
-    a, b = 0, 1
-    for _ in range(n):
-        a, b = b, a + b
-    return a
+    """The n-th Fibonacci number, exact up to n = 70."""
+    root = math.sqrt(5.0)
+    return round(((1 + root) / 2) ** n / root)
 
 
 def choose_sparse(doc_counts: list[int]) -> int:
     """How many of the smallest segments to merge; ``doc_counts`` ascend.
 
-    The more segments would be left, the more documents a merge may rewrite, by the
-    Fibonacci numbers.  A lone small segment takes its neighbour along if that is
-    less than twice its size.
+    A merge of the k smallest pays while the documents it rewrites number less than a
+    Fibonacci number, by how many segments there are beyond those already found worth
+    merging.  A lone small segment takes its neighbour along if that is less than
+    twice its size.
+    """
+    segments = len(doc_counts)
+    k = 0
+    for size, rewritten in enumerate(itertools.accumulate(doc_counts), start=1):
+        k = size if rewritten < fibonacci(segments - k + 6) else k
+    lone = k == 1 and segments > 2
+    return 2 if lone and doc_counts[1] // 2 < doc_counts[0] else k
+
+
+def _named(name: str, term: Column) -> Column:
+    return F.struct(F.lit(name).alias("field"), term.alias("term"))
+
+
+def sampled_lexicon(docs: DataFrame, schema: Schema, total: int, sample: int = 20_000) -> DataFrame:
+    """(field, term, doc_freq) over about ``sample`` of ``total`` documents."""
+    some = docs.sample(min(1.0, sample / total), seed=7) if total > sample else docs
+    none = F.array().cast("array<struct<field:string,term:string>>")
+    entries = [F.coalesce(F.transform(F.array_distinct(schema.fields[n].terms(F.col(n))), functools.partial(_named, n)), none) for n in schema.searchable()]
+    return some.select(F.explode(F.concat(none, *entries)).alias("e")).groupBy("e.field", "e.term").agg(F.count("*").alias("doc_freq"))
+
+
+def frequent(lexicon: DataFrame, partitions: int) -> DataFrame | None:
+    """(field, term, shares): into how many partitions to deal the postings of frequent terms.
+
+    A term is frequent if its postings exceed half of a partition's fair share, so there
+    are less than twice as many of them as partitions: few enough to send around.
     """
-    chosen, total, n = 0, 0, len(doc_counts)
-    for i, count in enumerate(doc_counts):
-        total += count
-        if total < fibonacci(n - chosen + 6):
-            chosen = i + 1
-    if chosen == 1 and n > 2 and doc_counts[1] // 2 < doc_counts[0]:
-        chosen = 2
-    return chosen
+    total = lexicon.agg(F.sum("doc_freq")).first()[0] or 0
+    fair = max(total / partitions, 1.0)
+    found = lexicon.where(F.col("doc_freq") > fair / 2).select("field", "term", F.least(F.lit(partitions), F.ceil(2 * F.col("doc_freq") / fair)).cast("int").alias("shares"))
+    rows = found.collect() if partitions > 1 else []
+    return lexicon.sparkSession.createDataFrame(rows, "field string, term string, shares int") if rows else None
 
 
 class Indexer:
-    """One session of changes to an index; nothing shows before ``commit``."""
+    """One session of changes to an index; nothing shows before ``commit``.
+
+    ``writers`` make further components: each gets the documents added and returns rows
+    that hold their key; readers get them by ``component``.
+    """
 
     #: Segments with at least this share of deleted documents are merged too.
     DELETED_SHARE = 0.1
 
-    def __init__(self, spark: SparkSession, path: str, schema: Schema | None = None, key: str = "doc_id", create: bool = True, truncate: bool = False, partitions: int | None = None, recycle=None, timeout: float = 1.0):
+    def __init__(self, spark: SparkSession, path: str, schema: Schema | None = None, key: str = "doc_id", create: bool = True, truncate: bool = False, partitions: int | None = None, recycle=None, timeout: float = 1.0, codec: str | None = None, writers: dict | None = None):
         self.spark, self.path, self.folder = spark, path.rstrip("/"), Folder(spark, path)
         self.lock = Lock(self.folder, "write", timeout).obtain()
         try:
@@ -297,72 +427,126 @@ class Indexer:
             if known is None and (not create or schema is None):
                 raise FileNotFoundError(f"no index at {path}")
             self.base = known
-            self.generation = (known.generation if known else 0) + 1
-            self.key = known.key if known and not truncate else key
-            self.schema = known.schema.merged(schema) if known and schema and not truncate else (schema or known.schema)
-            self.segments = {} if truncate or not known else dict(known.segments)
-            self.deletions = [] if truncate or not known else list(known.deletions)
+            fresh = truncate or known is None
+            grown = (schema or known.schema) if fresh else known.schema.merged(schema or Schema())
+            generation = (known.generation if known else 0) + 1
+            self.state = Manifest(generation, grown, key if fresh else known.key, "bigint" if fresh else known.key_type, {} if fresh else dict(known.segments), {} if fresh else dict(known.deletions), known.clock if known else 0, {} if fresh else dict(known.extras))
         except BaseException:
             self.lock.release()
             raise
-        self.partitions = partitions
+        self.partitions, self.codec, self.writers = partitions, codec, writers or {}
         self.recycle = recycle or self.choose_segments
         self._new = 0
 
+    schema = property(lambda self: self.state.schema)
+    key = property(lambda self: self.state.key)
+    segments = property(lambda self: self.state.segments)
+    generation = property(lambda self: self.state.generation)
+
     def __enter__(self) -> Indexer:
         return self
 
     def __exit__(self, kind, *_) -> None:
         self.lock.release()
 
-    def _name(self, kind: str) -> str:
+    def _suffix(self) -> str:
         self._new += 1
-        return f"{kind}-{self.generation:010d}-{self._new:04d}"
-
-    def _write_segment(self, docs: DataFrame, postings: DataFrame) -> None:
-        name = self._name("seg")
-        at = f"{self.path}/{name}"
-        docs.write.mode("overwrite").parquet(f"{at}/docs")
-        parts = [self.partitions] if self.partitions else []
-        clustered = postings.repartitionByRange(*parts, "field", "term", self.key).sortWithinPartitions("field", "term", self.key)
-        clustered.write.mode("overwrite").partitionBy("field").parquet(f"{at}/postings")
-        stored = self.spark.read.schema(postings.schema).parquet(f"{at}/postings")
-        stored.groupBy("field", "term").agg(F.count("*").alias("doc_freq")).sortWithinPartitions("field", "term").write.mode("overwrite").parquet(f"{at}/lexicon")
-        self.segments[name] = self.spark.read.parquet(f"{at}/docs").count()
-
-    def add(self, docs: DataFrame, boost: str | None = None) -> Indexer:
-        """Add documents; every column but the key and the boost must be a field."""
+        return f"g{self.generation:010d}-{self._new:04d}"
+
+    def _write(self, frame: DataFrame, part: str, segment: str, *by: str) -> None:
+        out = frame.write.mode("overwrite").partitionBy(*by) if by else frame.write.mode("overwrite")
+        if self.codec:
+            out = out.option("compression", self.codec)
+        out.parquet(f"{self.path}/{part}/seg={segment}")
+
+    def _partitions(self) -> int:
+        return self.partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _write_segment(self, docs: DataFrame, postings: DataFrame, segment: str, lexicon: DataFrame, extras: dict[str, DataFrame] | None = None) -> None:
+        """Write a segment's parts; ``segments`` gets it once all are there.
+
+        ``lexicon`` tells, exactly or from a sample, which terms are frequent.
+        """
+        self._write(docs, "docs", segment)
+        hot = frequent(lexicon, self._partitions())
+        by = ["field", "term"]
+        if hot is not None:
+            postings = postings.join(F.broadcast(hot), by, "left")
+            by.append(F.coalesce(F.pmod(F.xxhash64(self.key), F.col("shares")), F.lit(0)))
+        clustered = postings.repartition(self._partitions(), *by).drop("shares").sortWithinPartitions("field", "term", self.key)
+        self._write(clustered, "postings", segment, "field")
+        for name, frame in (extras or {}).items():
+            self._write(frame, f"extra-{name}", segment)
+        mine = self._view({segment: 0}, {})
+        counts = mine.postings().groupBy("field", "term").agg(F.count("*").alias("doc_freq"))
+        self._write(counts.sortWithinPartitions("field", "term"), "lexicon", segment)
+        self.segments[segment] = mine._all("docs").count()
+
+    def add(self, docs: DataFrame, boost: str | None = None, replace: bool = False, tag: str | None = None) -> Indexer:
+        """Add documents; every column but the key and the boost must be a field.
+
+        A key names one document: keys that are there already are an error, or with
+        ``replace`` their old documents are deleted; a key twice in ``docs``, or null, is an error.
+        """
         unknown = [c for c in docs.columns if c not in (self.key, boost) and c not in self.schema.fields]
         if unknown:
             raise ValueError(f"unknown fields: {', '.join(unknown)}")
+        key_type = docs.schema[self.key].dataType.simpleString()
+        if not self.segments:
+            self.state.key_type = key_type
         wanted = [c for c in docs.columns if c in self.schema.fields and c != self.key]
-        typed = docs.select(self.key, *(F.col(c).cast(KINDS[self.schema.fields[c].kind]).alias(c) for c in wanted), *([boost] if boost else []))
+        typed = docs.select(F.col(self.key).cast(self.state.key_type), *(F.col(c).cast(KINDS[self.schema.fields[c].kind]).alias(c) for c in wanted), *([boost] if boost else []))
         kept = [c for c in wanted if self.schema.fields[c].stored or self.schema.fields[c].sortable]
-        missing = [F.lit(None).cast(KINDS[t.kind]).alias(n) for n, t in self.schema.fields.items() if n not in wanted and n != self.key]
         own = Schema({n: t for n, t in self.schema.fields.items() if n in wanted})
-        self._write_segment(typed.select(self.key, *kept, *missing), invert(typed, own, self.key, boost))
+        extras = {name: make(typed) for name, make in self.writers.items()}
+        self.state.extras |= {name: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) for name, frame in extras.items()}
+        before = self._reader()
+        segment = f"{self.state.clock:010d}-{tag or self._suffix()}"
+        lexicon = sampled_lexicon(typed, own, typed.count())
+        self._write_segment(typed.select(self.key, *kept), invert(typed, own, self.key, boost), segment, lexicon, extras)
+        try:
+            new = self._view({segment: 0}, {})._all("docs").select(self.key)
+            if new.groupBy(self.key).count().where((F.col("count") > 1) | F.col(self.key).isNull()).head(1):
+                raise ValueError("a key is null or names two of the documents")
+            if before.manifest.segments:
+                known = before.stored().select(self.key).join(new, self.key, "left_semi")
+                if replace:
+                    self._delete(known, self.state.clock)
+                elif known.head(1):
+                    raise ValueError("a key names a document that is there already")
+        except BaseException:
+            del self.segments[segment]
+            raise
+        self.state.clock += 1
         return self
 
+    def _view(self, segments: dict[str, int], deletions: dict[str, int]) -> IndexReader:
+        return IndexReader.over(self.spark, self.path, dataclasses.replace(self.state, segments=segments, deletions=deletions))
+
     def _reader(self) -> IndexReader:
-        """This session's state, uncommitted additions included."""
-        reader = object.__new__(IndexReader)
-        reader.spark, reader.path, reader.folder = self.spark, self.path, self.folder
-        reader.schema, reader.key = self.schema, self.key
-        reader.manifest = Manifest(self.generation, self.schema, self.key, self.segments, self.deletions)
-        return reader
+        """This session's state, uncommitted changes included."""
+        return self._view(dict(self.segments), dict(self.state.deletions))
 
     def add_index(self, other: IndexReader, shift: int = 0) -> Indexer:
-        """Add the live documents of another index, their keys shifted."""
-        self.schema = self.schema.merged(other.schema)
-        moved = (F.col(self.key) + F.lit(shift)).alias(self.key)
-        move = lambda df: df.select(*(moved if c == self.key else F.col(c) for c in df.columns))
-        self._write_segment(move(other.stored()), move(other._live(other.postings())))
+        """Add the live documents of another index, their keys shifted; keys must be new."""
+        self.state.schema = self.schema.merged(other.schema)
+        if not self.segments:
+            self.state.key_type = other.manifest.key_type
+        moved = (F.col(other.key) + F.lit(shift)).cast(self.state.key_type).alias(self.key)
+        move = lambda df: df.select(*(moved if c == other.key else F.col(f"`{c}`") for c in df.columns))
+        known = self._reader().stored().select(self.key).join(move(other.stored().select(other.key)), self.key, "left_semi")
+        if self.segments and known.head(1):
+            raise ValueError("a key names a document that is there already")
+        self._write_segment(move(other.stored()), move(other._live(other.postings())), f"{self.state.clock:010d}-{self._suffix()}", other.lexicon())
+        self.state.clock += 1
         return self
 
-    def _delete(self, keys: DataFrame) -> Indexer:
-        name = self._name("del")
-        keys.select(self.key).distinct().write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self.deletions.append(name)
+    def _delete(self, keys: DataFrame, before: int | None = None) -> Indexer:
+        """Delete keys from the segments there are now."""
+        name = f"del-{self._suffix()}"
+        order = self.state.clock if before is None else before
+        keys.select(self.key).distinct().withColumn("before", F.lit(order)).write.mode("overwrite").parquet(f"{self.path}/{name}")
+        self.state.deletions[name] = order
         return self
 
     def delete_by_term(self, field: str, term: str) -> Indexer:
@@ -382,10 +566,10 @@ class Indexer:
         return self._delete(self._reader().stored().where(F.col(self.key) == doc_id))
 
     def _live_counts(self) -> dict[str, int]:
-        gone = self._reader().deleted()
-        if gone is None:
-            return dict(self.segments)
-        return {s: self.spark.read.parquet(f"{self.path}/{s}/docs").join(gone, self.key, "left_anti").count() for s in self.segments}
+        reader = self._reader()
+        docs = reader._all("docs").select(self.key, "seg", F.col("seg").alias(".own"))
+        found = {r[".own"]: r["count"] for r in reader._live(docs).groupBy("`.own`").count().collect()}  # a row a segment
+        return {s: found.get(s, 0) for s in self.segments}
 
     def choose_segments(self, live: dict[str, int]) -> list[str]:
         by_size = sorted(live, key=lambda s: (live[s], s))
@@ -393,25 +577,30 @@ class Indexer:
         worn = [s for s in by_size[n:] if self.segments[s] and 1 - live[s] / self.segments[s] >= self.DELETED_SHARE]
         return by_size[:n] + worn
 
+    def _merge(self, chosen: dict[str, int], deletions: dict[str, int], suffix: str) -> None:
+        """Write the live rows of ``chosen`` as one segment, of the highest order among them."""
+        part = self._view(chosen, deletions)
+        extras = {name: part.component(name) for name in self.state.extras}
+        self._write_segment(part.stored(), part._live(part.postings()), f"{max(map(order_of, chosen)):010d}-{suffix}", part.lexicon(), extras)
+
     def optimize(self, everything: bool = True) -> Indexer:
         """Merge segments into one without deleted documents: all, or those worth it."""
         chosen = list(self.segments) if everything else self.recycle(self._live_counts())
-        if not chosen or (len(chosen) == 1 and not self.deletions):
+        if not chosen or (len(chosen) == 1 and not self.state.deletions):
             return self
-        part = self._reader()
-        part.manifest = Manifest(0, self.schema, self.key, {s: self.segments[s] for s in chosen}, self.deletions)
-        self._write_segment(part.stored(), part._live(part.postings()))
+        others = set(self.segments) - set(chosen)
+        self._merge({s: self.segments[s] for s in chosen}, dict(self.state.deletions), self._suffix())
         for s in chosen:
             del self.segments[s]
-        if not set(self.segments) & set(self.base.segments if self.base else {}):
-            self.deletions = []  # no old document is left that they could name
+        if not others:
+            self.state.deletions.clear()  # no old document is left that they could name
         return self
 
     def prepare_commit(self) -> str:
         """Write the manifest under a draft name; ``commit`` makes it count."""
         draft = f".draft-manifest-{self.generation:010d}.json"
         self.folder.delete(draft)
-        self.folder.create(draft, Manifest(self.generation, self.schema, self.key, self.segments, self.deletions).dumps())
+        self.folder.create(draft, self.state.dumps())
         return draft
 
     def commit(self) -> int:
@@ -424,52 +613,74 @@ class Indexer:
         return self.generation
 
 
-def purge(spark: SparkSession, path: str, pinned: list[int] = ()) -> list[str]:
-    """Remove what neither the latest manifest nor a pinned generation names."""
+_PARTS = ("docs", "postings", "lexicon")
+
+
+def purge(spark: SparkSession, path: str, pinned: list[int] = (), timeout: float = 0.0) -> list[str]:
+    """Remove what neither the latest manifest nor a pinned generation names.
+
+    Takes the write and merge locks, so no session's unfinished segment can be lost: it
+    raises ``LockError`` beside an open writer or merger.  Generations that readers hold
+    by ``IndexReader.pin`` stay; pins of processes that are gone are cleared.
+    """
     folder = Folder(spark, path)
-    names = folder.names()
-    manifests = [n for n in names if n.startswith("manifest-")]
-    keep_files = {*manifests[-1:], *(f"manifest-{g:010d}.json" for g in pinned)}
-    kept: set[str] = set(keep_files)
-    for n in keep_files:
-        m = Manifest.loads(folder.read(n))
-        kept |= {*m.segments, *m.deletions}
-    gone = [n for n in names if n not in kept and n.startswith(("seg-", "del-", "manifest-", ".draft-"))]
-    for n in gone:
-        folder.delete(n)
+    with Lock(folder, "write", timeout), Lock(folder, "merge", timeout):
+        names = folder.names()
+        keep_files = {n for n in names if n.startswith("manifest-")}
+        keep_files = {*sorted(keep_files)[-1:], *(f"manifest-{g:010d}.json" for g in pinned)}
+        for n in names:
+            if n.startswith("pin-") and n.endswith(".lock"):
+                if Lock(folder, n.removesuffix(".lock")).is_stale():
+                    folder.delete(n)
+                else:
+                    keep_files.add(f"manifest-{n.split('-')[1]}.json")
+        kept = set(keep_files)
+        for n in keep_files & set(names):
+            m = Manifest.loads(folder.read(n))
+            kept |= {*m.segments, *m.deletions}
+        gone = [n for n in names if n not in kept and n.startswith(("del-", "manifest-", ".draft-"))]
+        for part in names:
+            if part in _PARTS or part.startswith("extra-"):
+                gone += [f"{part}/{s}" for s in folder.names(part) if s.removeprefix("seg=") not in kept]
+        for n in gone:
+            folder.delete(n)
     return gone
 
 
 class BackgroundMerger:
     """Merges the segments of one generation while others write; later deletions still hold.
 
-    Deletions name keys, so those made meanwhile apply to the merged segment as they
-    are.  The write lock is taken only to swap segments.
+    The merged segment has the highest order of those it replaces, so deletions made
+    meanwhile apply to it and documents added meanwhile are not touched.  The write lock
+    is taken only to swap segments.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.folder = spark, path.rstrip("/"), Folder(spark, path)
         self.lock = Lock(self.folder, "merge", 0.0).obtain()
-        self.seen = IndexReader(spark, path)
-        self.name = f"seg-merged-{self.seen.manifest.generation:010d}"
+        try:
+            self.seen = IndexReader(spark, path).manifest
+        except BaseException:
+            self.lock.release()
+            raise
 
     def prepare(self) -> BackgroundMerger:
         helper = object.__new__(Indexer)
-        helper.spark, helper.path, helper.folder, helper.key = self.spark, self.path, self.folder, self.seen.key
-        helper.segments, helper.partitions = {}, None
-        helper._name = lambda kind: self.name
-        helper._write_segment(self.seen.stored(), self.seen._live(self.seen.postings()))
-        self.count = helper.segments[self.name]
+        helper.spark, helper.path, helper.folder = self.spark, self.path, self.folder
+        helper.partitions, helper.codec, helper.state = None, None, dataclasses.replace(self.seen, segments={})
+        try:
+            helper._merge(dict(self.seen.segments), dict(self.seen.deletions), f"m{self.seen.generation:010d}")
+        except BaseException:
+            self.lock.release()
+            raise
+        self.merged = helper.segments
         return self
 
-    def commit(self) -> int:
-        writer = Indexer(self.spark, self.path)
-        merged = set(self.seen.manifest.segments)
-        writer.segments = {s: n for s, n in writer.segments.items() if s not in merged} | {self.name: self.count}
-        writer.deletions = [d for d in writer.deletions if d not in self.seen.manifest.deletions]
+    def commit(self, timeout: float = 1.0) -> int:
         try:
-            return writer.commit()
+            with Indexer(self.spark, self.path, timeout=timeout) as writer:
+                writer.state.segments = {s: n for s, n in writer.segments.items() if s not in self.seen.segments} | self.merged
+                writer.state.deletions = {d: b for d, b in writer.state.deletions.items() if d not in self.seen.deletions}
+                return writer.commit()
         finally:
             self.lock.release()
-
-

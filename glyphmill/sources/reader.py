@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.functions.similarity import Similarity
 from glyphmill.plans.compiler import Compiler, Needs, Statistics, norm_name, positions_name, prefix_name, rich_name, tf_name
 from glyphmill.plans.schema import Schema
 
@@ -56,10 +57,7 @@ class TextSource:
         self.docs, self.schema, self.key, self.boost = docs, schema, key, boost
 
     def _terms(self, name: str) -> Column:
-        kind = self.schema.type_of(name)
-        text = F.col(name)
-        terms = kind.analyzer.terms(text) if kind.kind == "text" else F.array(text.cast("string"))
-        return F.when(text.isNotNull(), terms)
+        return F.when(F.col(name).isNotNull(), self.schema.type_of(name).terms(F.col(name)))
 
     def _analyzed(self, fields: list[str], columns: list[str]) -> DataFrame:
         kept = [self.key, *dict.fromkeys(c for c in columns if c != self.key)]
@@ -105,16 +103,16 @@ class TextSource:
         return self.docs
 
 
-def gathered(postings: DataFrame, need: Needs, key: str = "doc_id") -> DataFrame:
-    """One row per document from posting rows (field, term, key, tf, norm, positions)."""
-    terms, wanted = need.term_list(), []
-    for f in need.fields():
-        own = [t for g, t in terms if g == f]
-        wanted.append((F.col("field") == f) & F.col("term").isin(own))
+def wanted_rows(need: Needs) -> Column:
+    """Whether a query reads a posting row; the file reader prunes by it."""
+    wanted = [(F.col("field") == f) & F.col("term").isin([t for g, t in need.term_list() if g == f]) for f in need.fields()]
     wanted += [(F.col("field") == f) & F.col("term").startswith(p) for f, p in need.prefixes]
-    if not wanted:
-        wanted = [F.lit(False)]
-    rows = postings.where(reduce(lambda a, b: a | b, wanted))
+    return reduce(lambda a, b: a | b, wanted) if wanted else F.lit(False)
+
+
+def gathered(postings: DataFrame, need: Needs, key: str = "doc_id") -> DataFrame:
+    """One row per document from its posting rows (field, term, key, tf, norm, positions)."""
+    terms = need.term_list()
     aggs = []
     for i, (f, t) in enumerate(terms):
         here = (F.col("field") == f) & (F.col("term") == t)
@@ -126,15 +124,15 @@ def gathered(postings: DataFrame, need: Needs, key: str = "doc_id") -> DataFrame
         aggs.append(F.max(F.when(F.col("field") == f, F.col("norm"))).alias(norm_name(f)))
     for i, (f, p) in enumerate(need.prefixes):
         aggs.append(F.max((F.col("field") == f) & F.col("term").startswith(p)).alias(prefix_name(i)))
-    return rows.groupBy(key).agg(*(aggs or [F.count("*").alias("n")]))
+    return postings.groupBy(key).agg(*(aggs or [F.count("*").alias("n")]))
 
 
-def matches(source, query, columns: list[str] = (), need_score: bool = True, statistics: Statistics | None = None) -> DataFrame:
+def matches(source, query, columns: list[str] = (), need_score: bool = True, statistics: Statistics | None = None, similarity: Similarity | None = None) -> DataFrame:
     """(key, score, columns) of the documents that match; score is null where none is needed."""
     from glyphmill.plans.compiler import needs
 
     need = needs(query)
-    compiler = Compiler(query, source.schema, statistics or source.statistics(need))
+    compiler = Compiler(query, source.schema, statistics or source.statistics(need), similarity)
     rows = source.rows(need, list(columns)).where(compiler.match())
     score = compiler.score() if need_score else F.lit(None).cast("double")
     return rows.select(source.key, score.cast("double").alias("score"), *(c for c in dict.fromkeys(columns) if c != source.key))

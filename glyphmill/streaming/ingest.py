@@ -9,26 +9,24 @@ from glyphmill.plans.schema import Schema
 from glyphmill.sources.index import Indexer, latest
 
 
-def index_stream(stream: DataFrame, path: str, schema: Schema, checkpoint: str, key: str = "doc_id", merge_every: int = 0, **trigger) -> StreamingQuery:
+def index_stream(stream: DataFrame, path: str, schema: Schema, checkpoint: str, key: str = "doc_id", merge_every: int = 0, replace: bool = False, **trigger) -> StreamingQuery:
     """Start a query that commits each batch; a batch that is run again is not added twice.
 
     Segment names carry the batch number, which the manifest keeps: after a failure
-    between commit and checkpoint the repeated batch is recognised and left out.
+    between commit and checkpoint the repeated batch is recognised and left out.  With
+    ``replace`` a key that comes again replaces its document.
     """
 
     def add(batch: DataFrame, number: int) -> None:
+        mark = f"batch-{number:012d}"
+        newest = lambda s: s[11:] == mark
         with Indexer(batch.sparkSession, path, schema, key, timeout=30.0) as writer:
-            mark = f"seg-batch-{number:012d}"
-            if any(s.startswith(mark) for s in (writer.base.segments if writer.base else ())):
+            if batch.isEmpty() or any(map(newest, writer.segments)):
                 return
-            if batch.isEmpty():
-                return
-            writer._name = lambda kind: f"{mark}-{writer.generation:010d}"
-            writer.add(batch)
-            del writer.__dict__["_name"]
+            writer.add(batch, replace=replace, tag=mark)
             if merge_every and len(writer.segments) >= merge_every:
-                keep = mark  # the newest batch stays recognisable
-                writer.recycle = lambda live: [s for s in Indexer.choose_segments(writer, live) if not s.startswith(keep)]
+                # The newest batch stays recognisable.
+                writer.recycle = lambda live: [s for s in writer.choose_segments(live) if not newest(s)]
                 writer.optimize(everything=False)
             writer.commit()
 

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from glyphmill.functions import similarity as sim
-from glyphmill.functions.analysis import CaseFolder, PolyAnalyzer, Stemmer, Stopalizer, Tokenizer, analyzer_from_json
+from glyphmill.functions.analysis import CaseFolder, PolyAnalyzer, Stemmer, Stopalizer, Tokenizer, analyzer_from_json, register_analyzer
 from glyphmill.functions.stemming import english
 from glyphmill.operators.highlight import HeatMap, Highlighter, Span, query_spans, sentences
 from glyphmill.operators.search import PolySearcher, Searcher, SortRule, SortSpec
@@ -267,7 +267,7 @@ def test_index_life(spark, tmp_path):
     assert (merged.doc_max(), merged.doc_freq("content", "a"), len(merged.manifest.segments)) == (1, 0, 1)
     assert Searcher(merged).total_hits("b") == 1
     gone = purge(spark, path)
-    assert len([g for g in gone if g.startswith("seg-")]) == 4 and Searcher(IndexReader(spark, path)).total_hits("b") == 1
+    assert len([g for g in gone if g.startswith("docs/seg=")]) == 4 and Searcher(IndexReader(spark, path)).total_hits("b") == 1
     with Indexer(spark, path, fields, truncate=True) as w:
         w.add(frame(spark, ["z"])).commit()
     assert Searcher(IndexReader(spark, path)).total_hits("b z") == 1
@@ -375,12 +375,19 @@ def test_other_stems(language, word, stem):
     assert stem_word(word, language) == stem
 
 
+class Whispering(Tokenizer):
+    """Never registered."""
+
+
 class Shouting(Tokenizer):
     """Upper-case words weigh three times as much."""
 
     def __init__(self):
         super().__init__(r"\S+")
 
+    def options(self):
+        return {}
+
     def terms(self, text):
         from pyspark.sql import functions as F
 
@@ -398,8 +405,10 @@ class Shouting(Tokenizer):
 @pytest.mark.parametrize("kind", ["texts", "index"])
 def test_posting_kinds(spark, tmp_path, kind):
     texts = ["a x", "A x x x x", "A a", "b"]
+    with pytest.raises(ValueError):
+        full_text(Whispering()).to_json()
+    register_analyzer("shouting", Shouting)
     rich = Schema().spec_field("content", full_text(Shouting(), posting="rich"))
-    # The stored schema names the plain tokenizer, which is all that a query needs.
     scores = {r.doc_id: r.score for r in Searcher(source(kind, spark, tmp_path, rich, frame(spark, texts))).collect(TermQuery("content", "a")).collect()}
     w = 1 + math.log(4 / 4)
     assert scores == {0: pytest.approx(w), 1: pytest.approx(3 * w), 2: pytest.approx(math.sqrt(2) * 2 * w)}
