@@ -1,14 +1,17 @@
 """Excerpts of hits with the matching words marked.
 
-Spans of a query's terms in a text become a heat map, whose hottest point chooses
-the fragment; sentence boundaries trim it.  This is a walk over one string, so it
-runs as a Pandas function, over a page of hits.
+Spans of a query's terms in a text become a heat map.  The excerpt is a stretch of the
+text near the hottest point that begins and ends with a sentence where one fits, else
+with whole words and an ellipsis.  This is a walk over one string, so it runs as a
+Pandas function, over a page of hits.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -18,7 +21,10 @@ from glyphmill.plans.query import FilterQuery, NOTQuery, PhraseQuery, ProximityQ
 from glyphmill.plans.schema import Schema
 
 ELLIPSIS = "…"
-_SENTENCE_END = regex.compile(r"\.(?=\s|$)")
+#: A sentence ends with a full stop before white space, or with the text.
+_SENTENCE = regex.compile(r"\S.*?(?:\.(?=\s|$)|$)", regex.S)
+#: Fixed value: "OK." is a sentence, "2." is none.
+LEAST_SENTENCE = 3
 
 
 @dataclass(frozen=True)
@@ -32,12 +38,16 @@ class Span:
         return self.offset + self.length
 
 
-def query_spans(query: Query, field: str, tokens: list[tuple[str, int, int]]) -> list[Span]:
-    """Where the terms of a query stand; a phrase only where it is complete."""
+def query_spans(query: Query, field: str, tokens: list[tuple[str, int, int]], weigh=None) -> list[Span]:
+    """Where a query matches: a span for a term, one from first to last word for a phrase.
+
+    ``weigh`` gives the weight of a term or phrase; its boost unless given.
+    """
     if isinstance(query, NOTQuery | FilterQuery):
         return []
+    weight = weigh(query) if weigh and isinstance(query, TermQuery | PhraseQuery | ProximityQuery) else query.boost
     if isinstance(query, TermQuery):
-        return [Span(a, b - a, query.boost) for t, a, b in tokens if query.field == field and t == query.term]
+        return [Span(a, b - a, weight) for t, a, b in tokens if query.field == field and t == query.term]
     if isinstance(query, PhraseQuery | ProximityQuery):
         if query.field != field or not query.terms:
             return []
@@ -51,9 +61,9 @@ def query_spans(query: Query, field: str, tokens: list[tuple[str, int, int]]) ->
             for i, t in enumerate(query.terms[1:], 1):
                 places.append(next((x for x in at.get(t, []) if 0 <= x - p - i < reach), None))
             if None not in places:
-                out += [Span(tokens[i][1], tokens[i][2] - tokens[i][1], query.boost) for i in places]
+                out.append(Span(tokens[p][1], tokens[max(places)][2] - tokens[p][1], weight))
         return out
-    return [s for c in query.children() for s in query_spans(c, field, tokens)]
+    return [s for c in query.children() for s in query_spans(c, field, tokens, weigh)]
 
 
 class HeatMap:
@@ -64,22 +74,23 @@ class HeatMap:
         self.spans = self.flatten([*spans, *self.proximity(spans)])
 
     def lift(self, a: Span, b: Span) -> float:
-        """Up to the sum of both weights for neighbours, nothing beyond the window."""
-        first, second = sorted((a, b), key=lambda s: (s.offset, s.length))
-        gap = max(second.offset - first.end, 0)
-        if gap >= self.window:
-            return 0.0
-        return ((self.window - gap) / self.window) ** 2 * (a.weight + b.weight)
+        """Both weights where the spans touch, less by the square of their distance, none from ``window`` on."""
+        apart = max(a.offset, b.offset) - min(a.end, b.end)
+        return max(1 - max(apart, 0) / self.window, 0.0) ** 2 * (a.weight + b.weight)
 
     def proximity(self, spans: list[Span]) -> list[Span]:
+        """A span over each pair that lifts each other; each lag of the sorted spans at once."""
+        rows = sorted((s.offset, s.end, s.weight) for s in spans)
+        start, end, weight = (np.array(c, float) for c in zip(*rows, strict=True)) if rows else (np.zeros(0),) * 3
         out = []
-        ordered = sorted(spans, key=lambda s: (s.offset, s.length))
-        for i, a in enumerate(ordered):
-            for b in ordered[i + 1 :]:
-                weight = self.lift(a, b)
-                if not weight:
-                    break
-                out.append(Span(a.offset, max(b.end, a.end) - a.offset, weight))
+        for lag in range(1, len(rows)):
+            nearness = 1 - np.maximum(start[lag:] - end[:-lag], 0) / self.window
+            near = np.flatnonzero(nearness > 0)
+            if not len(near):
+                break
+            heat = nearness[near] ** 2 * (weight[near] + weight[near + lag])
+            far_end = np.maximum(end[near], end[near + lag])
+            out += [Span(int(x), int(y - x), float(w)) for x, y, w in zip(start[near], far_end, heat, strict=True)]
         return out
 
     @staticmethod
@@ -109,28 +120,21 @@ class HeatMap:
 
 
 def sentences(text: str, start: int = 0, length: int | None = None) -> list[Span]:
-    """Sentences by full stop and white space, from the first that starts in the stretch."""
-    out, at = [], 0
+    """Sentences that begin in the stretch from ``start``; the last may reach beyond it."""
     stop = len(text) if length is None else start + length
-    while True:
-        while at < len(text) and text[at].isspace():
-            at += 1
-        if at >= len(text) or at > stop:
-            return [s for s in out if s.offset >= start]
-        m = _SENTENCE_END.search(text, at)
-        end = m.end() if m else len(text)
-        out.append(Span(at, end - at))
-        at = end
+    found = (Span(m.start(), len(m.group())) for m in _SENTENCE.finditer(text))
+    return [s for s in itertools.takewhile(lambda s: s.offset < stop, found) if s.offset >= start and s.length >= LEAST_SENTENCE]
 
 
 class Highlighter:
     """Makes excerpts of one field; override ``encode`` and ``highlight`` for other markup."""
 
-    def __init__(self, query: Query, schema: Schema, field: str, excerpt_length: int = 200, pre: str = "<strong>", post: str = "</strong>"):
+    def __init__(self, query: Query, schema: Schema, field: str, excerpt_length: int = 200, pre: str = "<strong>", post: str = "</strong>", weigh=None):
+        """``weigh`` gives the heat of a term or phrase, as ``Searcher.weigher`` makes it from document frequencies."""
         if not schema.type_of(field).highlightable:
             raise ValueError(f"field {field!r} cannot be highlighted")
         self.query, self.field, self.analyzer = query, field, schema.type_of(field).analyzer
-        self.length, self.pre, self.post = excerpt_length, pre, post
+        self.length, self.pre, self.post, self.weigh = excerpt_length, pre, post, weigh
         self.slop = excerpt_length // 3
         self.window = excerpt_length + 2 * self.slop
 
@@ -142,59 +146,56 @@ class Highlighter:
         return f"{self.pre}{text}{self.post}"
 
     def fragment(self, text: str, heat: HeatMap) -> tuple[int, str]:
-        """(start, text) of the window around the hottest point."""
-        skip = lambda i: i + len(text[i:]) - len(text[i:].lstrip())
-        hot = heat.hottest()
-        if hot < self.slop:
-            top = skip(0)
-            return top, text[top : top + self.window]
-        top = skip(hot - self.slop)
-        missing = self.length - len(text[top : top + self.length])
-        if not missing:
-            return top, text[top : top + self.window]
-        if missing > top:
-            top = skip(0)
-            return top, text[top:]
-        top = skip(top - missing)
-        return top, text[top : top + self.length]
-
-    def raw_excerpt(self, text: str, heat: HeatMap) -> tuple[int, str]:
-        """(offset of the excerpt's text, excerpt), cut at sentences or at words with ellipses."""
-        top, piece = self.fragment(text, heat)
-        least = min(len(text), int(self.length * 2 / 3))
-        found = sentences(text, 0, top + self.window)
-        start, at_start = top, False
-        for s in found:
-            rest = min(len(piece) - (s.offset - top), self.length)
-            if top <= s.offset <= top + self.window and rest >= least and heat.warm(s.offset, rest):
-                start, at_start = s.offset, True
-                break
-        end, at_end = None, False
-        for s in reversed(found):
-            size = s.end - start
-            if size <= 0:
-                break
-            if size > self.length or s.end > top + len(piece):
-                continue
-            if (size > least and heat.warm(start, size)) or not text[s.end : top + len(piece)].strip():
-                end, at_end = s.end, True
-                break
-        out = text[start : end if at_end else min(start + self.length, top + len(piece))]
-        if not at_start and start > 0:
-            # Begin with a whole word: drop the cut one, leaving room for the ellipsis.
-            if not text[start - 1].isspace():
-                cut = regex.search(r"\s", out)
-                drop = cut.end() if cut else 0
-                out, start = out[drop:], start + drop
-            out = f"{ELLIPSIS} {out}"
-            start -= 2
-        if not at_end and start + len(out) < len(text):
-            room = out[: max(self.length - 1, 1)] if len(out) >= self.length else out
-            if len(room) < len(out) or (start + len(room) < len(text) and not text[start + len(room)].isspace()):
-                cut = list(regex.finditer(r"\s", room))
-                room = room[: cut[-1].start()] if cut else room
-            out = room.rstrip().rstrip(".,;:") + ELLIPSIS
-        return start, out
+        """(start, text) of a window that begins a little before the hottest point.
+
+        Near the end of the text it begins earlier, so that a whole excerpt fits.
+        """
+        start = max(min(heat.hottest() - self.slop, len(text) - self.length), 0)
+        start += len(text[start:]) - len(text[start:].lstrip())
+        return start, text[start : start + self.window]
+
+    def raw_excerpt(self, text: str, heat: HeatMap, top: int | None = None, piece: str | None = None, bounds: list[Span] | None = None) -> tuple[int, str]:
+        """(offset of the excerpt in the text, excerpt) from the fragment ``piece`` at ``top``.
+
+        An ellipsis counts towards the length, and a leading one towards the offset.
+        """
+        if top is None or piece is None:
+            top, piece = self.fragment(text, heat)
+        if bounds is None:
+            bounds = sentences(text, 0, top + self.window)
+        bottom, least = top + len(piece), min(len(text), self.length * 2 // 3)
+        warm_enough = lambda a, b: b - a >= least and heat.warm(a, b - a)
+        start = next((s.offset for s in bounds if top <= s.offset and warm_enough(s.offset, min(bottom, s.offset + self.length))), None)
+        opens, start = start is not None, top if start is None else start
+        # An end of a sentence closes the excerpt; one that ends the text does so at any length.
+        last = len(text.rstrip())
+        closing = [s.end for s in bounds if start < s.end <= bottom and (warm_enough(start, s.end) or s.end >= last)]
+        end = max((e for e in closing if e <= start + self.length), default=None)
+        lead = ""
+        if not opens and start > 0:
+            # Begin with a whole word, a later one where the closing sentence needs the room.
+            lead = f"{ELLIPSIS} "
+            words = [start + m.start() for m in regex.finditer(r"\S+", text[start:bottom]) if text[start + m.start() - 1].isspace()]
+            roomy = [w for w in words if end is not None and 0 < end - w <= self.length - len(lead)]
+            if roomy:
+                start = roomy[0]
+            else:
+                start, end = (words[0] if words else start), None
+        room = self.length - len(lead)
+        if end is not None:
+            return start - len(lead), lead + text[start:end]
+        if last - start <= room:
+            return start - len(lead), lead + text[start:last]
+        return start - len(lead), lead + self._whole_words(text, start, room - 1) + ELLIPSIS
+
+    @staticmethod
+    def _whole_words(text: str, start: int, room: int) -> str:
+        """At most ``room`` characters that end with a word, without the punctuation after it."""
+        end = start + room
+        out = text[start:end]
+        if end < len(text) and not text[end].isspace() and (cut := regex.search(r"\s\S*$", out)):
+            out = out[: cut.start()]
+        return regex.sub(r"\W+$", "", out)
 
     def excerpt(self, text: str | None) -> str | None:
         if text is None:
@@ -202,16 +203,24 @@ class Highlighter:
         if not text:
             return ""
         tokens = self.analyzer.spans([(text, 0, len(text))])
-        spans = query_spans(self.query, self.field, tokens)
+        spans = query_spans(self.query, self.field, tokens, self.weigh)
         heat = HeatMap(spans, max(int(self.length * 2 / 3), 1))
         start, raw = self.raw_excerpt(text, heat)
+        return self.highlight_excerpt(raw, [s for s in spans if text[s.offset : s.end] == raw[max(s.offset - start, 0) : max(s.end - start, 0)]], start)
+
+    def highlight_excerpt(self, raw: str, spans: list[Span], start: int = 0) -> str:
+        """``raw``, which stands at ``start``, with the stretches that spans cover marked, all of it encoded."""
+        runs: list[list[int]] = []
+        for s in HeatMap.flatten([Span(s.offset - start, s.length, 1.0) for s in spans]):
+            if runs and runs[-1][1] == s.offset:
+                runs[-1][1] = s.end
+            else:
+                runs.append([s.offset, s.end])
         out, at = [], 0
-        for s in sorted(spans, key=lambda s: (s.offset, -s.length)):
-            a, b = s.offset - start, s.end - start
-            if a < at or b > len(raw) or raw[a:b] != text[s.offset : s.end]:
-                continue
-            out += [self.encode(raw[at:a]), self.highlight(self.encode(raw[a:b]))]
-            at = b
+        for a, b in runs:
+            if a >= at and b <= len(raw):
+                out += [self.encode(raw[at:a]), self.highlight(self.encode(raw[a:b]))]
+                at = b
         return "".join([*out, self.encode(raw[at:])])
 
     def column(self, text: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.similarity import Similarity
 from glyphmill.operators.docset import DocSet
-from glyphmill.plans.compiler import Statistics, needs
+from glyphmill.plans.compiler import Compiler, Statistics, needs
 from glyphmill.plans.parser import QueryParser
 from glyphmill.plans.query import NoMatchQuery, Query
 from glyphmill.plans.schema import Schema
@@ -133,6 +134,11 @@ class Searcher(_Search):
     def statistics(self, query: Query) -> Statistics:
         return self.source.statistics(needs(query))
 
+    def weigher(self, query: Query) -> Callable[[Query], float]:
+        """Weights of the query's terms and phrases for a ``Highlighter``: rare ones are hotter."""
+        compiler = Compiler(query, self.schema, self.statistics(query), self.similarity)
+        return lambda q: compiler.weight(q)
+
 
 class PolySearcher(_Search):
     """Several sources with one schema, searched as one: figures are summed, ids shifted."""

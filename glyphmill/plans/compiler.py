@@ -167,6 +167,10 @@ class Compiler:
     def query_norm(self) -> float:
         return self._query_norm
 
+    def weight(self, q: Query) -> float:
+        """The weight of a term or phrase by itself, its boost included."""
+        return self._weight(q, q.boost)
+
     def _weight(self, q: Query, boost: float) -> float:
         idf = self._idf(q)
         return idf * boost * idf * self._query_norm

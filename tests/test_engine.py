@@ -100,6 +100,15 @@ def test_pruning():
     assert parser.prune(ANDQuery([NOTQuery(TermQuery("content", "a")), NOTQuery(TermQuery("content", "b"))])).clauses == []
 
 
+def test_pruning_keeps_exclusions_of_exclusions_apart():
+    parser, a, b = QueryParser(schema()), TermQuery("content", "a"), TermQuery("content", "b")
+    assert str(parser.prune(NOTQuery(NOTQuery(a)))) == "[NOMATCH]"
+    assert str(parser.prune(ANDQuery([a, NOTQuery(NOTQuery(b))]))) == "(content:a AND -[MATCHALL])"
+    assert str(parser.prune(ANDQuery([a, NOTQuery(b)]))) == "(content:a AND -content:b)"
+    assert str(parser.prune(RequiredOptionalQuery(NOTQuery(a), b))) == "(+[NOMATCH] content:b)"
+    assert str(parser.prune(a)) == "content:a"
+
+
 def test_set_models(spark, seven):
     """Boolean operators over generated sets: word mK is in the documents K divides."""
     texts = [" ".join(f"m{k}" for k in (2, 3, 5, 7) if i % k == 0) or "none" for i in range(60)]
@@ -316,7 +325,7 @@ def test_highlighting(spark):
     parser = QueryParser(fields)
     hl = Highlighter(parser.parse('"x y z" AND φ'), fields, "content")
     out = hl.excerpt(body)
-    assert "<strong>x</strong> <strong>y</strong> <strong>z</strong>" in out and "<strong>&#934;</strong>" in out
+    assert "<strong>x y z</strong>" in out and "<strong>&#934;</strong>" in out
     assert out.startswith("&#8230;") and out.endswith("&#8230;")
     quotes = Highlighter(parser.parse("blind"), fields, "content")
     assert quotes.excerpt('"I see," said the blind man.') == "&quot;I see,&quot; said the <strong>blind</strong> man."
@@ -324,15 +333,47 @@ def test_highlighting(spark):
     rows = frame(spark, ["a blind x", None]).select(quotes.column("content").alias("e")).collect()
     assert [r.e for r in rows] == ["a <strong>blind</strong> x", None]
     tokens = fields.fields["content"].analyzer.spans([("x y, z x y z", 0, 12)])
-    assert [s.offset for s in query_spans(PhraseQuery("content", ["x", "y", "z"]), "content", tokens)] == [0, 2, 5, 7, 9, 11]
+    assert [s.offset for s in query_spans(PhraseQuery("content", ["x", "y", "z"]), "content", tokens)] == [0, 7]
     heat = HeatMap([], 100)
     assert heat.lift(Span(0, 2, 1.0), Span(2, 2, 1.0)) == 2.0 and heat.lift(Span(0, 2, 1.0), Span(200, 2, 1.0)) == 0.0
     assert HeatMap.flatten([Span(10, 10, 1.0), Span(16, 14, 2.0)]) == [Span(10, 6, 1.0), Span(16, 4, 3.0), Span(20, 10, 2.0)]
-    assert [(s.offset, s.length) for s in sentences("Ab c. De 3.5 f.  G")] == [(0, 5), (6, 9), (17, 1)]
+    assert [(s.offset, s.length) for s in sentences("Ab c. De 3.5 f.  G")] == [(0, 5), (6, 9)]
     with pytest.raises(ValueError):
         Highlighter(MatchAllQuery(), schema(t=full_text(PLAIN)), "t")
 
 
+def test_fragments_and_raw_excerpts():
+    """What the reference gives for these texts."""
+    fields = schema(PolyAnalyzer(analyzers=[CaseFolder(), Tokenizer()]))
+    sized = lambda n: Highlighter(TermQuery("content", "x"), fields, "content", n)
+    heat = lambda *spans: HeatMap([Span(*s) for s in spans], 133)
+    for text, hot, expected in (("a Φ Φ b c", (2, 1, 1.0), (2, "Φ Φ b")), ("aaΦ", (2, 1, 1.0), (0, "aaΦ")), ("aaaabΦΦ", (6, 2, 1.0), (4, "bΦΦ")), ("aΦbcde", (0, 1, 1.0), (0, "aΦbcd"))):
+        assert sized(3).fragment(text, heat(hot)) == expected
+    ook, ick, urk = "Ook.  Urk.  Ick.  ", "Ook urk ick i.", "Urk.  Iz no good."
+    for text, top, piece, bounds, expected in (
+        (ook, 0, "Ook.  Urk.", [(0, 4), (6, 4)], (0, "Ook.")),
+        (ook, 3, ".  Urk.  I", [(6, 4), (12, 4)], (6, "Urk.")),
+        (ick, 8, "ick i.", [(0, 14)], (10, "… i.")),
+        (urk, 4, "  Iz no go", [(6, 11)], (6, "Iz no…")),
+    ):
+        assert sized(6).raw_excerpt(text, heat((0, len(text), 1.0)), top, piece, [Span(*b) for b in bounds]) == expected
+    assert sized(3).highlight_excerpt("a b c", [Span(2, 1)]) == "a <strong>b</strong> c"
+    assert sized(3).highlight_excerpt("Φ Φ Φ", [Span(3, 1)], 1) == "&#934; <strong>&#934;</strong> &#934;"
+    text = "This is a sentence. " * 15
+    assert [(s.offset, s.length) for s in sentences(text, 101, 50)] == [(120, 19), (140, 19)] and sentences(text, 101, 4) == []
+    assert [(s.offset, s.length) for s in sentences(text)] == [(20 * i, 19) for i in range(15)]
+    # However a text is cut, an excerpt keeps to its length and to the text.
+    rng = random.Random(3)
+    for _ in range(300):
+        words = [rng.choice(["x", "yy", "Zed.", "long-word", "é!", "a"]) for _ in range(rng.randint(0, 60))]
+        text, n = rng.choice(["", " "]) + " ".join(words), rng.randint(3, 60)
+        hl = sized(n)
+        spans = query_spans(hl.query, "content", hl.analyzer.spans([(text, 0, len(text))]))
+        start, raw = hl.raw_excerpt(text, HeatMap(spans, max(n * 2 // 3, 1)))
+        body = raw.removeprefix("… ").removesuffix("…")
+        assert len(raw) <= n and body in text
+
+
 def test_simple_facade(spark, tmp_path):
     s = Simple(spark, f"{tmp_path}/simple", "en")
     s.add(frame(spark, ["running dogs", "a cat runs", "none"]))
