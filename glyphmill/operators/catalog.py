@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables, one for each operator, with SQL equivalents.
 
-``documents.text`` is the main corpus; ``part`` and ``orders`` stand in where a
-sortable or exact-value field is needed.
+``documents.text`` is the main corpus; ``part`` stands in where a sortable or
+exact-value field is needed.  Queries run over a stored index of the whole table,
+built once a session and input; those that change an index build their own.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from pyspark.sql import functions as F
 from glyphmill.functions.analysis import CaseFolder, PolyAnalyzer, Stemmer, Stopalizer, Tokenizer
 from glyphmill.functions.stemming import STEMMERS
 from glyphmill.functions.stopwords import STOPWORDS
-from glyphmill.operators.highlight import Highlighter
+from glyphmill.operators.highlight import Highlighter, term_vectors
 from glyphmill.operators.search import PolySearcher, Searcher, SortRule, SortSpec
 from glyphmill.plans.parser import QueryParser
 from glyphmill.plans.query import ANDQuery, FilterQuery, MatchAllQuery, NoMatchQuery, NOTQuery, ORQuery, PhraseQuery, PrefixQuery, ProximityQuery, RangeQuery, RequiredOptionalQuery, TermQuery
 from glyphmill.plans.schema import Schema, full_text, numeric, string
-from glyphmill.sources.index import Indexer, IndexReader, invert
+from glyphmill.sources.index import BackgroundMerger, Indexer, IndexReader, invert
 from glyphmill.sources.reader import TextSource
+from glyphmill.streaming.ingest import index_stream
 
 ANALYZER = PolyAnalyzer(analyzers=[CaseFolder(), Tokenizer()])
 STOPPED = PolyAnalyzer(analyzers=[CaseFolder(), Tokenizer(), Stopalizer("en")])
@@ -44,9 +46,41 @@ def _schema(analyzer=ANALYZER) -> Schema:
     )
 
 
+def _scratch(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="glyphmill-")
+    return f"{base}/index-{uuid.uuid4().hex}"
+
+
+def _build(spark: SparkSession, sf: str) -> str:
+    """A new index of the whole table in two segments; its path."""
+    path, docs = _scratch(spark), _docs(spark, sf)
+    with Indexer(spark, path, _schema()) as writer:
+        writer.add(docs.where("doc_id % 2 = 0")).add(docs.where("doc_id % 2 = 1")).commit()
+    return path
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _reader(spark: SparkSession, sf: str) -> IndexReader:
+    """The index that all queries which only read share."""
+    known = (spark.sparkContext.applicationId, sf)
+    if known not in _BUILT:
+        _BUILT[known] = _build(spark, sf)
+    return IndexReader(spark, _BUILT[known])
+
+
 def _searcher(spark: SparkSession, sf: str, analyzer=ANALYZER, **parser) -> Searcher:
-    schema = _schema(analyzer)
-    return Searcher(TextSource(_docs(spark, sf), schema), QueryParser(schema, fields=["text"], **parser))
+    if analyzer is ANALYZER:
+        source = _reader(spark, sf)
+    else:
+        source = TextSource(_docs(spark, sf), _schema(analyzer))
+    return Searcher(source, QueryParser(source.schema, **({"fields": ["text"]} | parser)))
 
 
 def _term(t: str) -> TermQuery:
@@ -150,6 +184,11 @@ def _phrase_oracle(terms: list[str], within: int) -> str:
     return base + f"SELECT doc_id, round(sqrt(pf) * ({idf}) * ({idf}) / abs({idf}) * norm, 6) AS score FROM leaf, st WHERE pf > 0"
 
 
+def _with_phrase(sql: str) -> str:
+    """SQL whose leaf rows also hold pf, the number of times the phrase stands there."""
+    return sql.replace("leaf AS (SELECT *,", f"leaf AS (SELECT *, {_phrase_sql(_PHRASE)} AS pf,")
+
+
 _register("phrase_query", _all_hits(PhraseQuery("text", _PHRASE)), _phrase_oracle(_PHRASE, 1))
 _register("proximity_query", _all_hits(ProximityQuery("text", _PHRASE, 4)), _phrase_oracle(_PHRASE, 4))
 
@@ -163,7 +202,17 @@ def _parsed(text: str, **parser):
 
 _register("parsed_query_or", _parsed("+for that -with"), _sql(["for", "with", "that"], "tf0 > 0 AND NOT tf1 > 0", f"{_w(0)} + CASE WHEN tf2 > 0 THEN {_w(2)} ELSE 0 END", f"{_sq(0)} + {_sq(2)}"))
 _register("parsed_query_and", _parsed("for (that OR with)", default_boolop="AND"), _sql(["for", "that", "with"], "tf0 > 0 AND (tf1 > 0 OR tf2 > 0)", f"{_w(0)} + (CASE WHEN tf1 > 0 THEN {_w(1)} ELSE 0 END + CASE WHEN tf2 > 0 THEN {_w(2)} ELSE 0 END) * (CAST(tf1 > 0 AS INT) + CAST(tf2 > 0 AS INT)) / 2.0", _sq(0, 1, 2)))
-_register("stopwords", _parsed("from the with hand", analyzer=STOPPED), None)
+_register("stopwords", _parsed("from the with hand", analyzer=STOPPED), _sql(["hand"], "tf0 > 0", _w(0), _sq(0), stop=True))
+_register("parsed_pure_negation", _parsed("-for -that"), "SELECT doc_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE false")
+_register("parsed_double_negation", _parsed("--for AND NOT with"), _sql(["for", "with"], "tf0 > 0 AND NOT tf1 > 0", _w(0), _sq(0)))
+_register("parsed_stray_operators", _parsed("AND for OR OR that AND"), _sql(["for", "that"], "tf0 > 0 OR tf1 > 0", _or_sql(2), _sq(0, 1)))
+_register("parsed_precedence", _parsed("with OR for AND that"), _sql(["for", "that", "with"], "tf2 > 0 OR (tf0 > 0 AND tf1 > 0)", f"(CASE WHEN tf2 > 0 THEN {_w(2)} ELSE 0 END + CASE WHEN tf0 > 0 AND tf1 > 0 THEN {_w(0)} + {_w(1)} ELSE 0 END) * (CAST(tf2 > 0 AS INT) + CAST(tf0 > 0 AND tf1 > 0 AS INT)) / 2.0", _sq(0, 1, 2)))
+_IN_DE = "(1 + ln(n / (1.0 + (SELECT count(*) FROM documents WHERE lang = 'de'))))"
+_register("parsed_fields", _parsed("lang:de AND text:und", heed_colons=True), _sql(["und"], "tf0 > 0 AND lang = 'de'", f"{_w(0)} + (SELECT {_IN_DE} * {_IN_DE} FROM st) * q", f"{_sq(0)} + {_IN_DE} * {_IN_DE}"))
+_register("parsed_escapes", _parsed(r"text:for\: OR text:that", heed_colons=True), _sql(["for", "that"], "tf0 > 0 OR tf1 > 0", _or_sql(2), _sq(0, 1)))
+_register("boosted_terms", _all_hits(ORQuery([TermQuery("text", "for", boost=2.0), _term("that")])), _sql(["for", "that"], "tf0 > 0 OR tf1 > 0", f"(CASE WHEN tf0 > 0 THEN 2 * {_w(0)} ELSE 0 END + CASE WHEN tf1 > 0 THEN {_w(1)} ELSE 0 END) * (CAST(tf0 > 0 AS INT) + CAST(tf1 > 0 AS INT)) / 2.0", "4 * idf0 * idf0 + idf1 * idf1"))
+_register("one_term_phrase", _all_hits(PhraseQuery("text", ["for"])), _sql(["for"], "tf0 > 0", _w(0), _sq(0)))
+_register("empty_phrase", _all_hits(PhraseQuery("text", [])), "SELECT doc_id, CAST(0 AS DOUBLE) AS score FROM documents WHERE false")
 
 
 def _stop_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,12 +278,12 @@ pos AS (SELECT doc_id, len(tokens) AS n_tokens, unnest(tokens) AS term, unnest(r
 _register("postings_build", _postings, _EXPLODED + f"SELECT term, doc_id, count(*) AS tf, round({_norm_sql('any_value(n_tokens)')}, 9) AS norm, min(p) AS first_position, max(p) AS last_position FROM pos GROUP BY term, doc_id")
 
 
-def _lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    terms = F.array_distinct(ANALYZER.terms(F.col("text")))
-    return _docs(spark, sf).select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("doc_freq"))
+def _lexicon(seek: str | None = None):
+    return lambda spark, sf: _reader(spark, sf).lexicon("text", seek).select("term", "doc_freq")
 
 
-_register("lexicon_scan", _lexicon, _EXPLODED + "SELECT term, count(DISTINCT doc_id) AS doc_freq FROM pos GROUP BY term")
+_register("lexicon_seek", _lexicon("was"), _EXPLODED + "SELECT term, count(DISTINCT doc_id) AS doc_freq FROM pos WHERE term >= 'was' GROUP BY term")
+_register("lexicon_scan", _lexicon(), _EXPLODED + "SELECT term, count(DISTINCT doc_id) AS doc_freq FROM pos GROUP BY term")
 
 
 def _norms(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,35 +311,137 @@ _register("stemmed_vocabulary", _stems)
 def _excerpts(spark: SparkSession, sf: str) -> DataFrame:
     searcher = _searcher(spark, sf)
     query = searcher.glean('for "the that"')
-    return searcher.hits(query, 10).select("doc_id", Highlighter(query, searcher.schema, "text").column("text").alias("excerpt"))
+    return searcher.hits(query, 10).select("doc_id", Highlighter(query, searcher.schema, "text", weigh=searcher.weigher(query)).column("text").alias("excerpt"))
 
 
 _register("highlighted_excerpts", _excerpts)
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="glyphmill-")
-    return f"{base}/index-{uuid.uuid4().hex}"
+def _index_build(spark: SparkSession, sf: str) -> DataFrame:
+    """Builds an index; its documents and postings by field."""
+    reader = IndexReader(spark, _build(spark, sf))
+    return reader.lexicon().groupBy("field").agg(F.sum("doc_freq").alias("n_postings"), F.lit(reader.doc_count()).cast("bigint").alias("n_docs"))
+
 
+_register("index_build", _index_build, _EXPLODED + """SELECT field, CAST(n_postings AS BIGINT) AS n_postings, (SELECT count(*) FROM documents) AS n_docs FROM (
+SELECT 'text' AS field, count(*) AS n_postings FROM (SELECT DISTINCT term, doc_id FROM pos)
+UNION ALL SELECT 'lang', count(lang) FROM documents UNION ALL SELECT 'source', count(source) FROM documents)""")
+
+
+def _index_search(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(Searcher(_reader(spark, sf)).collect(ORQuery([_term("for"), _term("und"), PhraseQuery("text", _PHRASE)])))
+
+
+_PHRASE_W = "sqrt(pf) * (idf2 + idf3) * (idf2 + idf3) * q * norm"
+_register("stored_index_search", _index_search, _with_phrase(_sql(["for", "und", *_PHRASE], "tf0 > 0 OR tf1 > 0 OR pf > 0", f"(CASE WHEN tf0 > 0 THEN {_w(0)} ELSE 0 END + CASE WHEN tf1 > 0 THEN {_w(1)} ELSE 0 END + CASE WHEN pf > 0 THEN {_PHRASE_W} ELSE 0 END) * (CAST(tf0 > 0 AS INT) + CAST(tf1 > 0 AS INT) + CAST(pf > 0 AS INT)) / 3.0", "idf0 * idf0 + idf1 * idf1 + (idf2 + idf3) * (idf2 + idf3)")))
+_register("parsed_phrase", _parsed('+for "the that"'), _with_phrase(_sql(["for", "und", *_PHRASE], "tf0 > 0", f"{_w(0)} + CASE WHEN pf > 0 THEN {_PHRASE_W} ELSE 0 END", "idf0 * idf0 + (idf2 + idf3) * (idf2 + idf3)")))
+
+
+def _text_search(spark: SparkSession, sf: str) -> DataFrame:
+    """No index: texts are analyzed as they are read."""
+    return _scored(Searcher(TextSource(_docs(spark, sf), _schema())).collect(ORQuery([_term("for"), _term("that")])))
+
+
+_register("text_scan_search", _text_search, _sql(["for", "that"], "tf0 > 0 OR tf1 > 0", _or_sql(2), _sq(0, 1)))
+
+
+def _set_algebra(spark: SparkSession, sf: str) -> DataFrame:
+    searcher = _searcher(spark, sf)
+    a, b, c, d = (searcher.docset(q) for q in (_term("for"), _term("that"), _term("und"), RangeQuery("n_chars", None, 300)))
+    found = ((a & b) ^ c) | (d - a)
+    return found.flipped(searcher.docset(MatchAllQuery())).ids
+
+
+_register("docset_algebra", _set_algebra, _leaf_sql(["for", "that", "und"]) + "SELECT doc_id FROM leaf WHERE NOT coalesce((tf0 > 0 AND tf1 > 0) <> (tf2 > 0) OR (n_chars <= 300 AND NOT tf0 > 0), false)")
+
+
+def _filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """A kept set of documents as a filter; it has no part in the score."""
+    searcher = _searcher(spark, sf)
+    return _scored(searcher.collect(_term("that"), within=searcher.docset(_term("for"))))
 
-def _stored_index(spark: SparkSession, sf: str) -> str:
+
+_register("docset_filter", _filtered, _sql(["that", "for"], "tf0 > 0 AND tf1 > 0", _w(0), _sq(0)))
+
+
+def _sort_values(spark: SparkSession, sf: str) -> DataFrame:
+    return _reader(spark, sf).unique_values("source")
+
+
+_register("unique_sort_values", _sort_values, "SELECT source, count(*) AS n_docs FROM documents GROUP BY source")
+
+
+def _counts(spark: SparkSession, sf: str) -> DataFrame:
+    path = _build(spark, sf)
+    with Indexer(spark, path) as writer:
+        writer.delete_by_term("text", "that").delete_by_doc_id(5).commit()
+    reader = IndexReader(spark, path)
+    return spark.createDataFrame([(reader.doc_max(), reader.del_count(), reader.doc_count())], "doc_max bigint, del_count bigint, doc_count bigint")
+
+
+_register("document_counts", _counts, _leaf_sql(["that"]) + "SELECT count(*) AS doc_max, count(*) FILTER (WHERE tf0 > 0 OR doc_id = 5) AS del_count, count(*) FILTER (WHERE NOT (tf0 > 0 OR doc_id = 5)) AS doc_count FROM leaf")
+
+
+def _updated(spark: SparkSession, sf: str) -> DataFrame:
+    """Every tenth document gets a new text; old texts count in statistics until a merge."""
+    path = _build(spark, sf)
+    new = _docs(spark, sf).where("doc_id % 10 = 0").withColumn("text", F.concat(F.lit("for for updated "), F.coalesce("text", F.lit(""))))
+    with Indexer(spark, path) as writer:
+        writer.add(new, replace=True).commit()
+    return _scored(Searcher(IndexReader(spark, path)).collect(ORQuery([_term("for"), _term("updated")])))
+
+
+_OLD_AND_NEW = """WITH versions AS (SELECT doc_id, text, lang, source, CASE WHEN doc_id % 10 = 0 THEN -1 ELSE 1 END AS n_chars FROM documents
+UNION ALL SELECT doc_id, 'for for updated ' || coalesce(text, ''), lang, source, 1 FROM documents WHERE doc_id % 10 = 0),
+tok"""
+_register("update_by_key", _updated, _sql(["for", "updated"], "(tf0 > 0 OR tf1 > 0) AND n_chars > 0", _or_sql(2), _sq(0, 1)).replace("WITH tok", _OLD_AND_NEW).replace("AS tokens FROM documents)", "AS tokens FROM versions)"))
+
+
+def _added(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole index copied into another under shifted keys."""
     path = _scratch(spark)
-    docs = _docs(spark, sf)
     with Indexer(spark, path, _schema()) as writer:
-        writer.add(docs.where("doc_id % 2 = 0")).add(docs.where("doc_id % 2 = 1")).commit()
-    return path
+        writer.add_index(_reader(spark, sf), shift=1_000_000).commit()
+    return _scored(Searcher(IndexReader(spark, path)).collect(ORQuery([_term("for"), _term("that")])))
 
 
-def _index_search(spark: SparkSession, sf: str) -> DataFrame:
-    reader = IndexReader(spark, _stored_index(spark, sf))
-    return _scored(Searcher(reader).collect(ORQuery([_term("for"), _term("und"), PhraseQuery("text", _PHRASE)])))
+_register("add_index", _added, _sql(["for", "that"], "tf0 > 0 OR tf1 > 0", _or_sql(2), _sq(0, 1), columns="doc_id + 1000000 AS doc_id, round(score, 6) AS score"))
+
+
+def _merged_behind(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments merged while another session deletes; both changes hold."""
+    path = _build(spark, sf)
+    merger = BackgroundMerger(spark, path).prepare()
+    with Indexer(spark, path) as writer:
+        writer.delete_by_term("text", "that").commit()
+    merger.commit()
+    return _scored(Searcher(IndexReader(spark, path)).collect(_term("for")))
+
+
+_register("background_merge", _merged_behind, _sql(["for", "that"], "tf0 > 0 AND NOT tf1 > 0", _w(0), _sq(0)))
+
+
+def _streamed(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents indexed as a stream, then searched."""
+    path, docs = _scratch(spark), _docs(spark, sf)
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf}/documents.parquet*")
+    index_stream(stream, path, _schema(), f"{path}-progress").awaitTermination()
+    return _scored(Searcher(IndexReader(spark, path)).collect(_term("for")))
+
+
+_register("streaming_index", _streamed, _sql(["for"], "tf0 > 0", _w(0), _sq(0)))
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions and character offsets of each term of each document."""
+    return term_vectors(_reader(spark, sf).stored(), _schema(), "text")
 
 
-_register("stored_index_search", _index_search)
+_register("term_vectors", _vectors)
 
 
 def _deleted(spark: SparkSession, sf: str) -> DataFrame:
-    path = _stored_index(spark, sf)
+    path = _build(spark, sf)
     with Indexer(spark, path) as writer:
         writer.delete_by_term("text", "that").delete_by_query(RangeQuery("n_chars", None, 200)).commit()
     return _scored(Searcher(IndexReader(spark, path)).collect(_term("for")))
@@ -309,7 +460,7 @@ _register("multi_index_search", _multi, _sql(["for", "that"], "tf0 > 0 OR tf1 >
 
 
 def _doc_freq(spark: SparkSession, sf: str) -> DataFrame:
-    reader = IndexReader(spark, _stored_index(spark, sf))
+    reader = _reader(spark, sf)
     return reader.lexicon("text").where(F.col("term").isin("for", "that", "und")).select("term", "doc_freq")
 
 
@@ -317,7 +468,7 @@ _register("doc_freq", _doc_freq, _EXPLODED + "SELECT term, count(DISTINCT doc_id
 
 
 def _posting_list(spark: SparkSession, sf: str) -> DataFrame:
-    reader = IndexReader(spark, _stored_index(spark, sf))
+    reader = _reader(spark, sf)
     return reader.posting_list("text", "und").select("doc_id", F.col("tf").cast("bigint").alias("tf"))
 
 
@@ -325,7 +476,7 @@ _register("posting_list_scan", _posting_list, _EXPLODED + "SELECT doc_id, count(
 
 
 def _optimized(spark: SparkSession, sf: str) -> DataFrame:
-    path = _stored_index(spark, sf)
+    path = _build(spark, sf)
     with Indexer(spark, path) as writer:
         writer.delete_by_term("text", "that").optimize().commit()
     reader = IndexReader(spark, path)

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.plans.query import FilterQuery, NOTQuery, PhraseQuery, ProximityQuery, Query, TermQuery
@@ -232,3 +232,27 @@ class Highlighter:
             return texts.map(make, na_action="ignore")
 
         return run(text)
+
+
+def term_vectors(docs: DataFrame, schema: Schema, field: str, key: str = "doc_id") -> DataFrame:
+    """(key, term, positions, starts, ends): where each term of a field stands, in tokens and in characters.
+
+    Texts are analyzed as they are read, a batch at a time; join or filter ``docs`` first.
+    """
+    analyzer = schema.type_of(field).analyzer
+    if analyzer is None:
+        raise ValueError(f"field {field!r} is not analyzed")
+    out = f"`{key}` {docs.schema[key].dataType.simpleString()}, term string, positions array<int>, starts array<int>, ends array<int>"
+
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, text in zip(batch["k"], batch["t"], strict=True):
+                at: dict[str, tuple[list[int], list[int], list[int]]] = {}
+                for p, (term, a, b) in enumerate(analyzer.spans([(text, 0, len(text))])):
+                    for column, value in zip(at.setdefault(term, ([], [], [])), (p, a, b), strict=True):
+                        column.append(value)
+                rows += [(k, term, *columns) for term, columns in at.items()]
+            yield pd.DataFrame(rows, columns=[key, "term", "positions", "starts", "ends"])
+
+    return docs.where(F.col(field).isNotNull()).select(F.col(key).alias("k"), F.col(field).alias("t")).mapInPandas(run, out)

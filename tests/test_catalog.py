@@ -32,7 +32,7 @@ def test_same_rows_as_sql(spark, sql, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(sql.execute(catalog.ORACLE[name]).df())
 
 
-@pytest.mark.parametrize("name", ["stopwords", "stemmed_vocabulary", "highlighted_excerpts", "stored_index_search"])
+@pytest.mark.parametrize("name", ["stemmed_vocabulary", "highlighted_excerpts", "term_vectors"])
 def test_others_run(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
