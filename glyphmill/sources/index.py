@@ -31,6 +31,7 @@ import os
 import socket
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -388,7 +389,7 @@ def _named(name: str, term: Column) -> Column:
     return F.struct(F.lit(name).alias("field"), term.alias("term"))
 
 
-def sampled_lexicon(docs: DataFrame, schema: Schema, total: int, sample: int = 20_000) -> DataFrame:
+def sampled_lexicon(docs: DataFrame, schema: Schema, total: int, sample: int = 2_000) -> DataFrame:
     """(field, term, doc_freq) over about ``sample`` of ``total`` documents."""
     some = docs.sample(min(1.0, sample / total), seed=7) if total > sample else docs
     none = F.array().cast("array<struct<field:string,term:string>>")
@@ -498,13 +499,14 @@ class Indexer:
         typed = docs.select(F.col(self.key).cast(self.state.key_type), *(F.col(c).cast(KINDS[self.schema.fields[c].kind]).alias(c) for c in wanted), *([boost] if boost else []))
         kept = [c for c in wanted if self.schema.fields[c].stored or self.schema.fields[c].sortable]
         own = Schema({n: t for n, t in self.schema.fields.items() if n in wanted})
+        typed, total, done = self._spread(typed)
         extras = {name: make(typed) for name, make in self.writers.items()}
         self.state.extras |= {name: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema) for name, frame in extras.items()}
         before = self._reader()
         segment = f"{self.state.clock:010d}-{tag or self._suffix()}"
-        lexicon = sampled_lexicon(typed, own, typed.count())
-        self._write_segment(typed.select(self.key, *kept), invert(typed, own, self.key, boost), segment, lexicon, extras)
+        lexicon = sampled_lexicon(typed, own, total)
         try:
+            self._write_segment(typed.select(self.key, *kept), invert(typed, own, self.key, boost), segment, lexicon, extras)
             new = self._view({segment: 0}, {})._all("docs").select(self.key)
             if new.groupBy(self.key).count().where((F.col("count") > 1) | F.col(self.key).isNull()).head(1):
                 raise ValueError("a key is null or names two of the documents")
@@ -515,11 +517,26 @@ class Indexer:
                 elif known.head(1):
                     raise ValueError("a key names a document that is there already")
         except BaseException:
-            del self.segments[segment]
+            self.segments.pop(segment, None)
             raise
+        finally:
+            done()
         self.state.clock += 1
         return self
 
+    def _spread(self, docs: DataFrame) -> tuple[DataFrame, int, Callable[[], object]]:
+        """(documents, their number, what to call after use).
+
+        Rows of an input that occupies few partitions, such as a file of one row group,
+        are dealt over all cores and kept for the passes over them; others stay in place.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        total, occupied = docs.select(F.spark_partition_id().alias("p")).agg(F.count("*"), F.count_distinct("p")).first()
+        if not total or occupied >= cores:
+            return docs, total, lambda: None
+        kept = docs.repartition(cores).persist()
+        return kept, total, kept.unpersist
+
     def _view(self, segments: dict[str, int], deletions: dict[str, int]) -> IndexReader:
         return IndexReader.over(self.spark, self.path, dataclasses.replace(self.state, segments=segments, deletions=deletions))
 
