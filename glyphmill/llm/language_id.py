@@ -80,6 +80,13 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return slots[order], np.searchsorted(owners[order], np.arange(len(words)))
 
 
+def sliced_features(words: list[str], step: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """``word_features``, made over ``step`` words at a time: what it needs meanwhile is many times its result."""
+    parts = [word_features(words[i : i + step]) for i in range(0, len(words), step)] or [word_features([])]
+    before = np.cumsum([0, *(len(slots) for slots, _ in parts)])
+    return np.concatenate([slots.astype(np.int32) for slots, _ in parts]), np.concatenate([first + at for (_, first), at in zip(parts, before, strict=False)])
+
+
 @dataclass
 class Chains:
     """Words of a batch cut into chains; lanes of equal length, padded with code -1."""
@@ -123,7 +130,8 @@ class ChainField:
     def emissions(self, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
         if not len(first):
             return np.zeros((0, len(self.languages)), np.float32)
-        return np.add.reduceat(self.weights[slots], first, axis=0)
+        # Language by language: the weights of all slots at once would take several times the memory.
+        return np.stack([np.add.reduceat(self.weights[:, j][slots], first) for j in range(len(self.languages))], 1)
 
     def _carried(self, potentials: np.ndarray, valid: np.ndarray, follows: np.ndarray, move: np.ndarray, start: np.ndarray):
         """What comes into each lane from the lanes of its text before and after it.
@@ -199,12 +207,12 @@ class ChainField:
 
     def fit(self, chains: Chains, labels: np.ndarray, rounds: int = ROUNDS, rate: float = 0.15, decay: float = 1e-4) -> ChainField:
         """Maximise the likelihood of ``labels`` (step, chain), by Adam over the whole sample."""
-        slots, first = word_features(chains.words)
+        slots, first = sliced_features(chains.words)
         lengths = np.diff(np.append(first, len(slots)))
         k = len(self.languages)
         valid = chains.codes >= 0
         lettered = valid & chains.has_letter[np.maximum(chains.codes, 0)]
-        one = np.eye(k)
+        one = np.eye(k, dtype=np.float32)
         pair = (labels[:-1] * k + labels[1:])[valid[1:]]
         over = np.flatnonzero(chains.follows)
         pair = np.append(pair, labels[valid.sum(0)[over - 1] - 1, over - 1] * k + labels[0, over])
@@ -217,9 +225,8 @@ class ChainField:
             post, expected = self.posteriors(potentials, valid, chains.follows)
             off = (one[labels] - post)[lettered]
             per_word = np.stack([np.bincount(chains.codes[lettered], weights=off[:, j], minlength=len(chains.words)) for j in range(k)], 1)
-            spread = np.repeat(per_word, lengths, axis=0)
             grads = [
-                np.stack([np.bincount(slots, weights=spread[:, j], minlength=1 << BITS) for j in range(k)], 1) / total - decay * self.weights / (1 << BITS),
+                np.stack([np.bincount(slots, weights=np.repeat(per_word[:, j], lengths), minlength=1 << BITS) for j in range(k)], 1) / total - decay * self.weights / (1 << BITS),
                 (observed - expected) / total,
                 (one[labels[0]] - post[0])[~chains.follows].sum(0) / total,
             ]
@@ -235,7 +242,7 @@ class ChainField:
         chains = cut_chains(lowered(texts))
         if not chains.codes.shape[1] or not k:
             return np.full(count, -1), np.zeros(count)
-        emissions = self.emissions(*word_features(chains.words))
+        emissions = self.emissions(*sliced_features(chains.words))
         total, words = np.zeros((count, k)), np.zeros(count)
         # Parts of about 4096 chains, which end where a text does.
         ends = np.append(np.flatnonzero(~chains.follows), len(chains.text))
@@ -258,7 +265,7 @@ class ChainField:
         chains = cut_chains(lowered(pa.array([text])))
         if not chains.codes.shape[1]:
             return []
-        potentials, valid = self._potentials(chains, self.emissions(*word_features(chains.words)))
+        potentials, valid = self._potentials(chains, self.emissions(*sliced_features(chains.words)))
         post, _ = self.posteriors(potentials, valid, chains.follows, False)
         return [(chains.words[chains.codes[t, c]], self.languages[int(post[t, c].argmax())]) for c in range(chains.codes.shape[1]) for t in range(chains.codes.shape[0]) if valid[t, c]]
 
