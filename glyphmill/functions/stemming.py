@@ -319,7 +319,165 @@ def spanish(word: str) -> str:
     return w.translate(plain)
 
 
-STEMMERS = {"en": english, "de": german, "es": spanish, "sv": swedish, "da": danish, "no": norwegian}
+#: Fixed values of the French stemmer: plain endings, those after "ic", and verb endings.
+_FR_PLAIN = tuple("ance iqUe isme able iste eux ances iqUes ismes ables istes".split())
+_FR_AFTER_IC = tuple("atrice ateur ation atrices ateurs ations".split())
+_FR_REPLACED = {"logie": "log", "logies": "log", "usion": "u", "ution": "u", "usions": "u", "utions": "u", "ence": "ent", "ences": "ent"}
+_FR_I_VERBS = tuple(
+    (
+        "îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons iront is issaIent issais issait "
+        "issant issante issantes issants isse issent isses issez issiez issions issons it"
+    ).split()
+)
+_FR_VERBS = tuple("é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez".split())
+_FR_A_VERBS = tuple("âmes ât âtes a ai aIent ais ait ant ante antes ants as asse assent asses assiez assions".split())
+_FR_OTHERS = tuple("ement ements ité ités if ive ifs ives eaux aux euse euses issement issements amment emment ment ments".split())
+
+
+class _French:
+    """One word on its way to its stem: ``w`` shrinks, the regions stay."""
+
+    VOWELS = "aeiouyâàëéêèïîôûù"
+
+    def __init__(self, word: str):
+        v, w = self.VOWELS, [*word]
+        # A vowel letter that acts as a consonant is written in upper case.
+        for i, c in enumerate(word):
+            left, right = i > 0 and w[i - 1] in v, i + 1 < len(word) and word[i + 1] in v
+            if (c in "ui" and left and right) or (c == "y" and (left or right)) or (c == "u" and i > 0 and word[i - 1] == "q"):
+                w[i] = c.upper()
+        self.w = "".join(w)
+        self.r1, self.r2 = _regions(self.w, v)
+        if self.w[:3] in ("par", "col", "tap") or (len(w) > 2 and w[0] in v and w[1] in v):
+            self.rv = min(3, len(w))
+        else:
+            self.rv = next((i + 1 for i in range(1, len(w)) if w[i] in v), len(w))
+
+    def at(self, end: str, region: int) -> bool:
+        return bool(end) and self.w.endswith(end) and len(self.w) - len(end) >= region
+
+    def swap(self, end: str, by: str = "") -> None:
+        self.w = self.w[: len(self.w) - len(end)] + by
+
+    def swap_if(self, end: str, region: int, by: str = "") -> bool:
+        if self.at(end, region):
+            self.swap(end, by)
+            return True
+        return False
+
+    def either(self, end: str, by: str) -> None:
+        """Take an ending away in the second region, replace it before that."""
+        if self.w.endswith(end):
+            self.swap(end, "" if self.at(end, self.r2) else by)
+
+    def noun_ending(self) -> bool:
+        """Standard endings; whether the word is done with verbs."""
+        end = _longest(self.w, (*_FR_PLAIN, *_FR_AFTER_IC, *_FR_REPLACED, *_FR_OTHERS))
+        if end in _FR_REPLACED or end in _FR_PLAIN:
+            return self.swap_if(end, self.r2, _FR_REPLACED.get(end, ""))
+        if end in _FR_AFTER_IC:
+            if not self.swap_if(end, self.r2):
+                return False
+            self.either("ic", "iqU")
+            return True
+        if end in ("issement", "issements"):
+            before = self.w[: -len(end)][-1:]
+            return bool(before) and before not in self.VOWELS and self.swap_if(end, self.r1)
+        if end in ("ement", "ements"):
+            if not self.swap_if(end, self.rv):
+                return False
+            if self.w.endswith("iv"):
+                if self.swap_if("iv", self.r2):
+                    self.swap_if("at", self.r2)
+            elif self.w.endswith("eus"):
+                self.swap_if("eus", self.r2) or self.swap_if("eus", self.r1, "eux")
+            elif self.w.endswith(("abl", "iqU")):
+                self.swap_if(self.w[-3:], self.r2)
+            elif self.w.endswith(("ièr", "Ièr")):
+                self.swap_if(self.w[-3:], self.rv, "i")
+            return True
+        if end in ("ité", "ités"):
+            if not self.swap_if(end, self.r2):
+                return False
+            if self.w.endswith("abil"):
+                self.either("abil", "abl")
+            elif self.w.endswith("ic"):
+                self.either("ic", "iqU")
+            else:
+                self.swap_if("iv", self.r2)
+            return True
+        if end in ("if", "ive", "ifs", "ives"):
+            if not self.swap_if(end, self.r2):
+                return False
+            if self.swap_if("at", self.r2):
+                self.either("ic", "iqU")
+            return True
+        if end == "eaux":
+            self.swap(end, "eau")
+            return True
+        if end == "aux":
+            return self.swap_if(end, self.r1, "al")
+        if end in ("euse", "euses"):
+            return self.swap_if(end, self.r2) or self.swap_if(end, self.r1, "eux")
+        # Adverbs leave a word that may still end like a verb.
+        if end in ("amment", "emment"):
+            self.swap_if(end, self.rv, "ant" if end == "amment" else "ent")
+        elif end in ("ment", "ments"):
+            place = len(self.w) - len(end) - 1
+            if place >= self.rv and self.w[place] in self.VOWELS:
+                self.swap(end)
+        return False
+
+    def verb_ending(self) -> bool:
+        inside = self.w[self.rv :]
+        end = _longest(inside, _FR_I_VERBS)
+        place = len(self.w) - len(end) - 1
+        if end and place >= self.rv and self.w[place] not in self.VOWELS:
+            self.swap(end)
+            return True
+        end = _longest(inside, (*_FR_VERBS, *_FR_A_VERBS, "ions"))
+        if not end or (end == "ions" and not self.at(end, self.r2)):
+            return False
+        self.swap(end)
+        if end in _FR_A_VERBS:
+            self.swap_if("e", self.rv)
+        return True
+
+    def rest(self) -> None:
+        """Endings of words that are neither."""
+        if self.w.endswith("s") and len(self.w) > 1 and self.w[-2] not in "aiouès":
+            self.swap("s")
+        end = _longest(self.w[self.rv :], ("ion", "ier", "ière", "Ier", "Ière", "e", "ë"))
+        if end == "ion":
+            if self.at(end, self.r2) and self.w[-4:-3] in ("s", "t") and len(self.w) - 4 >= self.rv:
+                self.swap(end)
+        elif end == "ë":
+            if self.at("guë", self.rv):
+                self.swap(end)
+        elif end:
+            self.swap(end, "" if end == "e" else "i")
+
+    def stem(self) -> str:
+        if self.noun_ending() or self.verb_ending():
+            if self.w.endswith(("Y", "ç")):
+                self.w = self.w[:-1] + ("i" if self.w[-1] == "Y" else "c")
+        else:
+            self.rest()
+        if self.w.endswith(("enn", "onn", "ett", "ell", "eill")):
+            self.w = self.w[:-1]
+        tail = len(self.w)
+        while tail and self.w[tail - 1] not in self.VOWELS:
+            tail -= 1
+        if 0 < tail < len(self.w) and self.w[tail - 1] in "éè":
+            self.w = f"{self.w[: tail - 1]}e{self.w[tail:]}"
+        return self.w.lower()
+
+
+def french(word: str) -> str:
+    return _French(word).stem()
+
+
+STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "sv": swedish, "da": danish, "no": norwegian}
 
 
 @lru_cache(1 << 17)
