@@ -477,7 +477,82 @@ def french(word: str) -> str:
     return _French(word).stem()
 
 
-STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "sv": swedish, "da": danish, "no": norwegian}
+#: Fixed values of the Portuguese stemmer (nasal vowels spelled with a tilde after them).
+_PT_PLAIN = tuple("eza ezas ico ica icos icas ismo ismos ável ível ista istas oso osa osos osas amento amentos imento imentos adora ador aça~o adoras adores aço~es ante antes ância".split())
+_PT_REPLACED = {"logia": "log", "logias": "log", "uça~o": "u", "uço~es": "u", "ência": "ente", "ências": "ente"}
+#: Ending → what goes with it where it stands before it.
+_PT_WITH = {
+    **dict.fromkeys(("mente",), ("ante", "avel", "ível")),
+    **dict.fromkeys(("idade", "idades"), ("abil", "ic", "iv")),
+    **dict.fromkeys(("iva", "ivo", "ivas", "ivos"), ("at",)),
+}
+_PT_VERBS = tuple(
+    (
+        "ada ida ia aria eria iria ará ara erá era irá ava asse esse isse aste este iste ei arei erei irei am iam ariam eriam iriam aram eram iram avam "
+        "em arem erem irem assem essem issem ado ido ando endo indo ara~o era~o ira~o ar er ir as adas idas ias arias erias irias arás aras erás eras irás "
+        "avas es ardes erdes irdes ares eres ires asses esses isses astes estes istes is ais eis íeis aríeis eríeis iríeis áreis areis éreis ereis íreis "
+        "ireis ásseis ésseis ísseis áveis ados idos ámos amos íamos aríamos eríamos iríamos áramos éramos íramos ávamos emos aremos eremos iremos ássemos "
+        "êssemos íssemos imos armos ermos irmos eu iu ou ira iras"
+    ).split()
+)
+
+
+def _verb_region(w: str, v: str) -> int:
+    """Where verb endings may begin: by the shape of a word's first letters."""
+    if len(w) < 3:
+        return len(w)
+    if w[1] not in v:
+        return next((i + 1 for i in range(2, len(w)) if w[i] in v), len(w))
+    if w[0] in v:
+        return next((i + 1 for i in range(2, len(w)) if w[i] not in v), len(w))
+    return 3
+
+
+def portuguese(word: str) -> str:
+    v = "aeiouáéíóúâêô"
+    w = word.replace("ã", "a~").replace("õ", "o~")
+    r1, r2 = _regions(w, v)
+    rv = _verb_region(w, v)
+
+    def without(ends, region: int) -> str | None:
+        """The word less the longest of the endings; None if that begins before the region."""
+        end = _longest(w, ends)
+        return w[: -len(end)] if end and len(w) - len(end) >= region else None
+
+    end = _longest(w, (*_PT_PLAIN, *_PT_REPLACED, *_PT_WITH, "amente", "ira", "iras"))
+    before = w
+    if end == "amente":
+        if without((end,), r1) is not None:
+            w = w[: -len(end)]
+            if w.endswith("iv"):
+                w = without(("iv",), r2) or w
+                w = (without(("at",), r2) or w) if not w.endswith("iv") else w
+            else:
+                w = without(("os", "ic", "ad"), r2) or w
+    elif end in ("ira", "iras"):
+        if without((end,), rv) is not None and w[: -len(end)].endswith("e"):
+            w = w[: -len(end)] + "ir"
+    elif end and without((end,), r2) is not None:
+        w = w[: -len(end)] + _PT_REPLACED.get(end, "")
+        w = without(_PT_WITH.get(end, ()), r2) or w
+    if w == before:
+        inside = _longest(w[rv:], _PT_VERBS)
+        w = w[: len(w) - len(inside)]
+    if w != before:
+        if w.endswith("ci") and len(w) - 1 >= rv:
+            w = w[:-1]
+    else:
+        w = w[: len(w) - len(_longest(w[rv:], ("os", "a", "i", "o", "á", "í", "ó")))]
+    if w.endswith("ç"):
+        w = w[:-1] + "c"
+    elif w[-1:] in ("e", "é", "ê") and len(w) - 1 >= rv:
+        w = w[:-1]
+        if w.endswith(("gu", "ci")) and len(w) - 1 >= rv:
+            w = w[:-1]
+    return w.replace("a~", "ã").replace("o~", "õ")
+
+
+STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "pt": portuguese, "sv": swedish, "da": danish, "no": norwegian}
 
 
 @lru_cache(1 << 17)
