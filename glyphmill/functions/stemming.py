@@ -552,7 +552,73 @@ def portuguese(word: str) -> str:
     return w.replace("a~", "ã").replace("o~", "õ")
 
 
-STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "pt": portuguese, "sv": swedish, "da": danish, "no": norwegian}
+#: Fixed values of the Italian stemmer: attached pronouns, plain and replaced endings, verb endings.
+_IT_PRONOUNS = tuple("ci gli la le li lo mi ne si ti vi sene gliela gliele glieli glielo gliene mela mele meli melo mene tela tele teli telo tene cela cele celi celo cene vela vele veli velo vene".split())
+_IT_PLAIN = tuple("anza anze ico ici ica ice iche ichi ismo ismi abile abili ibile ibili ista iste isti istà istè istì oso osi osa ose mente atrice atrici ante anti".split())
+_IT_AFTER_IC = tuple("azione azioni atore atori".split())
+_IT_REPLACED = {"logia": "log", "logie": "log", "uzione": "u", "uzioni": "u", "usione": "u", "usioni": "u", "enza": "ente", "enze": "ente"}
+_IT_VERBS = tuple(
+    (
+        "ammo ando ano are arono asse assero assi assimo ata ate ati ato ava avamo avano avate avi avo emmo enda ende endi endo erà erai eranno ere erebbe "
+        "erebbero erei eremmo eremo ereste eresti erete erò erono essero ete eva evamo evano evate evi evo Yamo iamo immo irà irai iranno ire irebbe "
+        "irebbero irei iremmo iremo ireste iresti irete irò irono isca iscano isce isci isco iscono issero ita ite iti ito iva ivamo ivano ivate ivi ivo "
+        "ono uta ute uti uto ar ir"
+    ).split()
+)
+
+
+def italian(word: str) -> str:
+    v = "aeiouàèìòù"
+    w = word.translate(str.maketrans("áéíóú", "àèìòù")).replace("qu", "qU")
+    letters = [*w]
+    for i in range(1, len(w) - 1):
+        if w[i] in "ui" and letters[i - 1] in v and w[i + 1] in v:
+            letters[i] = w[i].upper()
+    w = "".join(letters)
+    r1, r2 = _regions(w, v)
+    rv = _verb_region(w, v)
+
+    def less(end: str, region: int) -> str:
+        """The word without an ending that begins in the region, else as it is."""
+        return w[: -len(end)] if end and w.endswith(end) and len(w) - len(end) >= region else w
+
+    pronoun = _longest(w, _IT_PRONOUNS)
+    if pronoun:
+        base = w[: -len(pronoun)]
+        host = _longest(base, ("ando", "endo", "ar", "er", "ir"))
+        if host and len(base) - len(host) >= rv:
+            w = base + ("e" if len(host) == 2 else "")
+    before = w
+    end = _longest(w, (*_IT_PLAIN, *_IT_AFTER_IC, *_IT_REPLACED, "amento", "amenti", "imento", "imenti", "amente", "ità", "ivo", "ivi", "iva", "ive"))
+    region = r1 if end == "amente" else rv if end in ("amento", "amenti", "imento", "imenti") else r2
+    w = less(end, region)
+    if w != before:
+        w += _IT_REPLACED.get(end, "")
+        if end in _IT_AFTER_IC:
+            w = less("ic", r2)
+        elif end == "amente":
+            if w.endswith("iv"):
+                shorter = less("iv", r2)
+                w = shorter if shorter == w else (shorter[:-2] if shorter.endswith("at") and len(shorter) - 2 >= r2 else shorter)
+            else:
+                w = less(_longest(w, ("os", "ic", "abil")), r2)
+        elif end == "ità":
+            w = less(_longest(w, ("abil", "ic", "iv")), r2)
+        elif end in ("ivo", "ivi", "iva", "ive"):
+            shorter = less("at", r2)
+            w = shorter[:-2] if shorter != w and shorter.endswith("ic") and len(shorter) - 2 >= r2 else shorter
+    else:
+        inside = _longest(w[rv:], _IT_VERBS)
+        w = w[: len(w) - len(inside)]
+    if w[-1:] and w[-1] in "aeioàèìò" and len(w) - 1 >= rv:
+        w = w[:-1]
+        w = less("i", rv)
+    if w.endswith(("ch", "gh")) and len(w) - 2 >= rv:
+        w = w[:-1]
+    return w.lower()
+
+
+STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "it": italian, "pt": portuguese, "sv": swedish, "da": danish, "no": norwegian}
 
 
 @lru_cache(1 << 17)
