@@ -618,7 +618,259 @@ def italian(word: str) -> str:
     return w.lower()
 
 
-STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "it": italian, "pt": portuguese, "sv": swedish, "da": danish, "no": norwegian}
+#: Fixed values of the Dutch stemmer: accents that it drops.
+_NL_ACCENTS = str.maketrans("äëïöüáéíóú", "aeiouaeiou")
+
+
+def dutch(word: str) -> str:
+    v = "aeiouyè"
+    letters = [*word.translate(_NL_ACCENTS)]
+    if letters[:1] == ["y"]:
+        letters[0] = "Y"
+    for i in range(1, len(letters)):
+        if letters[i - 1] in v and (letters[i] == "y" or (letters[i] == "i" and i + 1 < len(letters) and letters[i + 1] in v)):
+            letters[i] = letters[i].upper()
+    w = "".join(letters)
+    r1, r2 = _regions(w, v)
+    r1 = max(r1, min(3, len(w)))
+
+    def single(stem: str) -> str:
+        return stem[:-1] if stem.endswith(("kk", "dd", "tt")) else stem
+
+    def without_en(w: str, end: str) -> str:
+        stem = w[: -len(end)]
+        return single(stem) if len(stem) >= r1 and stem and stem[-1] not in v and not stem.endswith("gem") else w
+
+    def without_e(w: str) -> tuple[str, bool]:
+        fits = w.endswith("e") and len(w) - 1 >= r1 and len(w) > 1 and w[-2] not in v
+        return (single(w[:-1]), True) if fits else (w, False)
+
+    def without_ig(w: str) -> str:
+        return w[:-2] if w.endswith("ig") and len(w) - 2 >= r2 and not w.endswith("eig") else w
+
+    end = _longest(w, ("heden", "ene", "en", "se", "s"))
+    if end == "heden":
+        w = w[:-5] + "heid" if len(w) - 5 >= r1 else w
+    elif end in ("en", "ene"):
+        w = without_en(w, end)
+    elif end and len(w) - len(end) >= r1 and len(w) > len(end) and w[-len(end) - 1] not in v + "j":
+        w = w[: -len(end)]
+    w, had_e = without_e(w)
+    if w.endswith("heid") and len(w) - 4 >= r2 and not w.endswith("cheid"):
+        w = w[:-4]
+        if w.endswith("en"):
+            w = without_en(w, "en")
+    end = _longest(w, ("end", "ing", "ig", "lijk", "baar", "bar"))
+    if end and len(w) - len(end) >= r2:
+        if end in ("end", "ing"):
+            w = w[:-3]
+            shorter = without_ig(w)
+            w = shorter if shorter != w else single(w)
+        elif end == "ig":
+            w = without_ig(w)
+        elif end == "lijk":
+            w, _ = without_e(w[:-4])
+        elif end == "baar" or had_e:
+            w = w[: -len(end)]
+    if len(w) > 3 and w[-3:-1] in ("aa", "ee", "oo", "uu") and w[-4] not in v and w[-1] not in v + "I":
+        w = w[:-2] + w[-1]
+    return w.lower()
+
+
+#: Endings of the Russian stemmer; those of the first of two groups follow а or я.
+_RU_GERUND = (tuple("в вши вшись".split()), tuple("ив ивши ившись ыв ывши ывшись".split()))
+_RU_ADJECTIVE = tuple("ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split())
+_RU_PARTICIPLE = (tuple("ем нн вш ющ щ".split()), tuple("ивш ывш ующ".split()))
+_RU_VERB = (
+    tuple("ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно".split()),
+    tuple("ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split()),
+)
+_RU_NOUN = tuple("а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я".split())
+
+
+def russian(word: str) -> str:
+    v = "аеиоуыэюя"
+    w = word.replace("ё", "е")
+    rv = next((i + 1 for i, c in enumerate(w) if c in v), len(w))
+    head, tail = w[:rv], w[rv:]
+    r2 = max(_regions(w, v)[1] - rv, 0)
+
+    def less(t: str, ends) -> str:
+        end = _longest(t, ends)
+        return t[: -len(end)] if end else t
+
+    def less_grouped(t: str, groups) -> str:
+        end = _longest(t, (*groups[0], *groups[1]))
+        stem = t[: -len(end)] if end else t
+        return t if end in groups[0] and not stem.endswith(("а", "я")) else stem
+
+    shorter = less_grouped(tail, _RU_GERUND)
+    if shorter == tail:
+        tail = less(tail, ("ся", "сь"))
+        shorter = less(tail, _RU_ADJECTIVE)
+        if shorter != tail:
+            shorter = less_grouped(shorter, _RU_PARTICIPLE)
+        else:
+            shorter = less_grouped(tail, _RU_VERB)
+            if shorter == tail:
+                shorter = less(tail, _RU_NOUN)
+    tail = less(shorter, ("и",))
+    end = _longest(tail, ("ост", "ость"))
+    if end and len(tail) - len(end) >= r2:
+        tail = tail[: -len(end)]
+    end = _longest(tail, ("ейше", "ейш", "нн", "ь"))
+    if end == "нн":
+        tail = tail[:-1]
+    elif end:
+        tail = tail[: -len(end)]
+        if end != "ь" and tail.endswith("нн"):
+            tail = tail[:-1]
+    return head + tail
+
+
+#: Fixed values of the Finnish stemmer: long vowels, particles, cases and what stands before them.
+_FI_LONG = ("aa", "ee", "ii", "oo", "uu", "ää", "öö")
+_FI_PARTICLES = tuple("kin kaan kään ko kö han hän pa pä".split())
+_FI_BEFORE_POSSESSIVE = {"an": tuple("ta ssa sta lla lta na".split()), "än": tuple("tä ssä stä llä ltä nä".split()), "en": ("lle", "ine")}
+_FI_CASES = tuple("ta tä ssa ssä sta stä lla llä lta ltä lle na nä ksi ine".split())
+_FI_COMPARED = tuple("mpi mpa mpä mmi mma mmä".split())
+_FI_DERIVED = tuple("impi impa impä immi imma immä eja ejä".split())
+
+
+def finnish(word: str) -> str:
+    v, consonants = "aeiouyäö", "bcdfghjklmnpqrstvwxz"
+    r1, r2 = _regions(word, v)
+    w = word
+
+    def found(*ends: str, region: int = 0) -> str:
+        """The longest of the endings that begin in a region."""
+        return _longest(w[max(r1, region) :], ends)
+
+    end = found(*_FI_PARTICLES, "sti")
+    stem = w[: len(w) - len(end)]
+    if end == "sti" and len(stem) >= r2 or end in _FI_PARTICLES and stem[-1:] and stem[-1] in v + "nt":
+        w = stem
+
+    end = found("si", "ni", "nsa", "nsä", "mme", "nne", "an", "än", "en")
+    stem = w[: len(w) - len(end)]
+    if end == "ni":
+        w = stem[:-1] + "i" if stem.endswith("kse") else stem
+    elif end == "si":
+        w = w if stem.endswith("k") else stem
+    elif end and stem.endswith(_FI_BEFORE_POSSESSIVE.get(end, "")):
+        w = stem
+
+    # Four endings hold only after certain vowels; elsewhere a shorter ending is looked for.
+    after_i = w.endswith(tuple(x + "i" + e for x in "aeiouäö" for e in ("siin", "den", "tten")))
+    after_long = w.endswith(tuple(x + "seen" for x in _FI_LONG))
+    end = found(*_FI_CASES, "han", "hen", "hin", "hon", "hän", "hön", "a", "ä", "tta", "ttä", "n", *("siin", "den", "tten") * after_i, *("seen",) * after_long)
+    stem = w[: len(w) - len(end)]
+    if end in ("a", "ä"):
+        fits = len(stem) > 1 and stem[-1] in v and stem[-2] in consonants
+    elif end in ("tta", "ttä"):
+        fits = stem.endswith("e")
+    else:
+        fits = not end.startswith("h") or stem.endswith(end[1])
+    case = bool(end) and fits
+    if case:
+        w = stem[:-1] if end == "n" and stem.endswith((*_FI_LONG, "ie")) else stem
+
+    end = found(*_FI_COMPARED, *_FI_DERIVED, region=r2)
+    stem = w[: len(w) - len(end)]
+    if end and not (end in _FI_COMPARED and stem.endswith("po")):
+        w = stem
+
+    if case:
+        w = w[: len(w) - len(found("i", "j"))]
+    elif found(*(x + "t" for x in v)):
+        w = w[:-1]
+        end = found("mma", "imma", region=r2)
+        stem = w[: len(w) - len(end)]
+        if not (end == "mma" and stem.endswith("po")):
+            w = stem
+
+    if found(*_FI_LONG):
+        w = w[:-1]
+    if len(w) - 2 >= r1 and len(w) > 1 and w[-1] in "aäei" and w[-2] in consonants:
+        w = w[:-1]
+    if found("oj", "uj"):
+        w = w[:-1]
+    if found("jo"):
+        w = w[:-1]
+    last = next((i for i in range(len(w) - 1, 0, -1) if w[i] not in v), 0)
+    if last and w[last] == w[last - 1] and w[last] in consonants:
+        w = w[:last] + w[last + 1 :]
+    return w
+
+
+#: Fixed values of the Hungarian stemmer: double consonants, then for each step the
+#: endings that go and those that leave a short vowel.
+_HU_DOUBLE = tuple("bb cc ccs dd ff gg ggy jj kk ll lly mm nn nny pp rr ss ssz tt tty vv zz zzs".split())
+_HU_CASES = tuple(
+    "ban ben ba be ra re nak nek val vel tól től ról ről ból ből hoz hez höz nál nél ig at et ot öt ért képp képpen kor ul ül vá vé "
+    "onként enként anként ként en on an ön n t".split()
+)
+_HU_STEPS = (
+    ((), ("án", "ánként"), ("én",)),
+    (("astul", "estül", "stul", "stül"), ("ástul",), ("éstül",)),
+    None,
+    (("oké", "öké", "aké", "eké", "ké", "é", "éi"), ("áké", "áéi"), ("éké", "ééi", "éé")),
+    (
+        tuple("ünk unk nk juk jük uk ük em om am m od ed ad öd d ja je a e o".split()),
+        tuple("ánk ájuk ám ád á".split()),
+        tuple("énk éjük ém éd é".split()),
+    ),
+    (
+        tuple("jaim jeim aim eim im jaid jeid aid eid id jai jei ai ei i jaink jeink aink eink ink jaitok jeitek aitok eitek itek jaik jeik aik eik ik".split()),
+        tuple("áim áid ái áink áitok áik".split()),
+        tuple("éim éid éi éink éitek éik".split()),
+    ),
+    (("ök", "ok", "ek", "ak", "k"), ("ák",), ("ék",)),
+)
+
+
+def hungarian(word: str) -> str:
+    v = "aáeéiíoóöőuúüű"
+    if word[:1] and word[0] in v:
+        first = next((i for i, c in enumerate(word) if c not in v), len(word))
+        sound = next((x for x in ("dzs", "cs", "gy", "ly", "ny", "sz", "ty", "zs") if word.startswith(x, first)), word[first : first + 1])
+        r1 = first + len(sound)
+    else:
+        r1 = next((i + 1 for i, c in enumerate(word) if c in v), len(word))
+    w = word
+
+    def single(end: str) -> str:
+        """The word without an ending after a double consonant, of which one letter goes too."""
+        stem = w[: -len(end)]
+        return stem[:-2] + stem[-1] if stem.endswith(_HU_DOUBLE) else w
+
+    def found(*ends: str) -> str:
+        """The longest of the endings, if it begins in R1."""
+        end = _longest(w, ends)
+        return end if len(w) - len(end) >= r1 else ""
+
+    end = found("al", "el")
+    if end:
+        w = single(end)
+    end = found(*_HU_CASES)
+    if end:
+        w = w[: -len(end)]
+        if found("á", "é"):
+            w = w[:-1] + {"á": "a", "é": "e"}[w[-1]]
+    for step in _HU_STEPS:
+        if step is None:
+            end = found("á", "é")
+            if end:
+                w = single(end)
+            continue
+        gone, to_a, to_e = step
+        end = found(*gone, *to_a, *to_e)
+        if end:
+            w = w[: -len(end)] + ("a" if end in to_a else "e" if end in to_e else "")
+    return w
+
+
+STEMMERS = {"en": english, "de": german, "es": spanish, "fr": french, "it": italian, "pt": portuguese, "sv": swedish, "da": danish, "no": norwegian, "nl": dutch, "ru": russian, "fi": finnish, "hu": hungarian}
 
 
 @lru_cache(1 << 17)
