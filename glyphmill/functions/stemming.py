@@ -878,9 +878,13 @@ def stem_word(word: str, language: str) -> str:
     return STEMMERS[language](word)
 
 
-def stem_column(terms: Column, language: str) -> Column:
+def stem_column(terms: Column, language: str | Column) -> Column:
+    """Stems of a column of term arrays; null where a language column is null or names no stemmer."""
+    if isinstance(language, str):
+        language = F.lit(language)
+
     @F.pandas_udf("array<string>")
-    def stem(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda words: None if words is None else [stem_word(w, language) for w in words])
+    def stem(batch: pd.Series, languages: pd.Series) -> pd.Series:
+        return pd.Series([None if words is None or code not in STEMMERS else [stem_word(w, code) for w in words] for words, code in zip(batch, languages, strict=True)], dtype=object)
 
-    return stem(terms)
+    return stem(terms, language)

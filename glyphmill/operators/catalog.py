@@ -13,12 +13,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions.analysis import CaseFolder, PolyAnalyzer, Stemmer, Stopalizer, Tokenizer
-from glyphmill.functions.stemming import STEMMERS
+from glyphmill.functions.analysis import CaseFolder, PolyAnalyzer, Stopalizer, Tokenizer
+from glyphmill.functions.stemming import stem_column
 from glyphmill.functions.stopwords import STOPWORDS
 from glyphmill.operators.highlight import Highlighter, term_vectors
 from glyphmill.operators.search import PolySearcher, Searcher, SortRule, SortSpec
-from glyphmill.plans.parser import QueryParser
+from glyphmill.plans.parser import FlatQueryParser, QueryParser
 from glyphmill.plans.query import ANDQuery, FilterQuery, MatchAllQuery, NoMatchQuery, NOTQuery, ORQuery, PhraseQuery, PrefixQuery, ProximityQuery, RangeQuery, RequiredOptionalQuery, TermQuery
 from glyphmill.plans.schema import Schema, full_text, numeric, string
 from glyphmill.sources.index import BackgroundMerger, Indexer, IndexReader, invert
@@ -298,11 +298,7 @@ _register("norms", _norms, _leaf_sql(["x"]) + "SELECT doc_id, CAST(n_tokens AS B
 def _stems(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct words of each language with their stems: null where the language has no stemmer, or is null."""
     words = _docs(spark, sf).select("lang", F.explode(F.array_distinct(ANALYZER.terms(F.col("text")))).alias("word")).distinct()
-    stem = F.lit(None).cast("string")
-    for language in STEMMERS:
-        own = F.when(F.col("lang") == language, F.array("word"))
-        stem = F.coalesce(F.element_at(Stemmer(language).apply(own), 1), stem)
-    return words.select("lang", "word", stem.alias("stem"))
+    return words.select("lang", "word", F.element_at(stem_column(F.array("word"), F.col("lang")), 1).alias("stem"))
 
 
 _register("stemmed_vocabulary", _stems)
@@ -433,11 +429,41 @@ _register("streaming_index", _streamed, _sql(["for"], "tf0 > 0", _w(0), _sq(0)))
 
 
 def _vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Positions and character offsets of each term of each document."""
-    return term_vectors(_reader(spark, sf).stored(), _schema(), "text")
+    """Positions and character offsets of each term of each document, joined by commas."""
+    found = term_vectors(_reader(spark, sf).stored(), _schema(), "text")
+    return found.select("doc_id", "term", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("positions", "starts", "ends")))
 
 
-_register("term_vectors", _vectors)
+# A token ends after all tokens up to it and all that stands before each of them.
+_register(
+    "term_vectors",
+    _vectors,
+    f"""WITH parts AS (SELECT doc_id, {_TOKENS} AS tokens, string_split_regex(lower(text), '{_W}+(?:[''’]{_W}+)*') AS gaps FROM documents WHERE text IS NOT NULL),
+one AS (SELECT doc_id, unnest(range(len(tokens))) AS p, unnest(tokens) AS term, unnest(gaps[1:len(tokens)]) AS gap FROM parts),
+placed AS (SELECT doc_id, term, p, sum(length(gap) + length(term)) OVER (PARTITION BY doc_id ORDER BY p) AS e FROM one)
+SELECT doc_id, term, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS positions,
+       string_agg(CAST(e - length(term) AS VARCHAR), ',' ORDER BY p) AS starts, string_agg(CAST(e AS VARCHAR), ',' ORDER BY p) AS ends
+FROM placed GROUP BY doc_id, term""",
+)
+
+
+def _flat(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and prefixes without operators; a prefix scores 1."""
+    source = _reader(spark, sf)
+    return _scored(Searcher(source).collect(FlatQueryParser(source.schema, ["text"]).parse(f"for {_PREFIX}*")))
+
+
+_HAS_PREFIX = f"len(list_filter(tokens, lambda x: starts_with(x, '{_PREFIX}'))) > 0"
+_register("flat_parsed_query", _flat, _sql(["for"], f"tf0 > 0 OR {_HAS_PREFIX}", f"(CASE WHEN tf0 > 0 THEN {_w(0)} ELSE 0 END + CASE WHEN {_HAS_PREFIX} THEN 1 ELSE 0 END) * (CAST(tf0 > 0 AS INT) + CAST({_HAS_PREFIX} AS INT)) / 2.0", f"{_sq(0)} + 1.0"))
+
+
+def _long_field(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts under a hundred tokens get no bonus for being short."""
+    schema = Schema().spec_field("text", full_text(ANALYZER, similarity="long_field"))
+    return _scored(Searcher(TextSource(_docs(spark, sf), schema)).collect(ORQuery([_term("for"), _term("that")])))
+
+
+_register("long_field_similarity", _long_field, _sql(["for", "that"], "tf0 > 0 OR tf1 > 0", _or_sql(2), _sq(0, 1)).replace(_norm_sql(), _norm_sql("greatest(n_tokens, 100)")))
 
 
 def _deleted(spark: SparkSession, sf: str) -> DataFrame:
