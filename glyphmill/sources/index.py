@@ -31,7 +31,7 @@ import os
 import socket
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from glyphmill.plans.compiler import Needs, Statistics
 from glyphmill.plans.query import Query
 from glyphmill.plans.schema import KINDS, Schema
-from glyphmill.sources.reader import gathered, matches, wanted_rows
+from glyphmill.sources.reader import computed_once, gathered, matches, wanted_rows
 
 
 class Folder:
@@ -195,43 +195,67 @@ def latest(folder: Folder, attempts: int = 3) -> Manifest | None:
     return None
 
 
+#: Tokens that the inversion handles at once; a text of more is handled by itself.
+SLICE_TOKENS = 1 << 18
+
+
+def token_slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs (start, stop) of rows of at most ``limit`` tokens, or of one row; ``offsets`` are those of a list array."""
+    start, n = 0, len(offsets) - 1
+    while start < n:
+        stop = max(int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1, start + 1)
+        yield start, stop
+        start = stop
+
+
 def invert(docs: DataFrame, schema: Schema, key: str, boost: str | None = None) -> DataFrame:
-    """Postings (field, term, key, tf, norm, positions) of every indexed field of ``docs``."""
+    """Postings (field, term, key, tf, norm, positions) of every indexed field of ``docs``.
+
+    Python handles ``SLICE_TOKENS`` at a time, whatever the number and length of the texts in a batch.
+    """
     key_type = docs.schema[key].dataType
-    out_schema = T.StructType([T.StructField("field", T.StringType()), T.StructField("term", T.StringType()), T.StructField(key, key_type), T.StructField("tf", T.IntegerType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("doc_boost", T.DoubleType()), T.StructField("mean_boost", T.DoubleType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    out_schema = T.StructType([T.StructField("term", T.StringType()), T.StructField(key, key_type), T.StructField("tf", T.IntegerType()), T.StructField("norm", T.DoubleType()), T.StructField("mean_boost", T.DoubleType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
     names = [f.name for f in out_schema]
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("terms")
-            offsets = lists.offsets.to_numpy().astype(np.int64)
-            offsets = offsets - offsets[0]
-            encoded = lists.flatten().dictionary_encode()
-            codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            lengths = np.diff(offsets)
-            owner = np.repeat(np.arange(len(lengths)), lengths)
-            position = (np.arange(len(codes)) - offsets[owner]).astype(np.int32)
-            order = np.lexsort((position, codes, owner))
-            owner, codes, position = owner[order], codes[order], position[order]
-            first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
-            ends = np.append(first, len(codes)).astype(np.int32)
-            rows = pa.array(owner[first])
-            boosts = batch.column("boosts").flatten().to_numpy(zero_copy_only=False)
-            # Field by field all rows have boosts or none has.
-            means = pa.array(np.add.reduceat(boosts[order], first) / np.diff(ends)) if len(boosts) else pa.nulls(len(first), pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("field").take(rows), encoded.dictionary.take(pa.array(codes[first])), batch.column(key).take(rows), pa.array(np.diff(ends)), pa.array(lengths[owner[first]].astype(np.int32)), batch.column("doc_boost").take(rows), means, pa.ListArray.from_arrays(pa.array(ends), pa.array(position))],
-                names=names,
-            )
+            for start, stop in token_slices(batch.column("terms").offsets.to_numpy(), SLICE_TOKENS):
+                yield postings(batch.slice(start, stop - start))
+
+    def postings(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("terms")
+        offsets = lists.offsets.to_numpy()
+        lengths = np.diff(offsets)
+        encoded = lists.flatten().dictionary_encode()
+        owner = np.repeat(np.arange(len(lengths)), lengths)
+        position = (np.arange(len(owner)) - (offsets[:-1] - offsets[0])[owner]).astype(np.int32)
+        # A document's terms; a stable sort keeps the positions of each in order.
+        runs = owner * max(len(encoded.dictionary), 1) + encoded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(runs, kind="stable")
+        runs = runs[order]
+        first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.zeros(0, np.int64)
+        ends = np.append(first, len(runs)).astype(np.int32)
+        rows, tf = pa.array(owner[order[first]]), np.diff(ends)
+        boosts = batch.column("boosts").flatten().to_numpy(zero_copy_only=False)
+        # Field by field all rows have boosts or none has.
+        means = pa.array(np.add.reduceat(boosts[order], first) / tf) if len(boosts) else pa.nulls(len(first), pa.float64())
+        terms = encoded.dictionary.take(encoded.indices.take(pa.array(order[first])))
+        return pa.RecordBatch.from_arrays([terms, batch.column(key).take(rows), pa.array(tf), batch.column("norm").take(rows), means, pa.ListArray.from_arrays(pa.array(ends), pa.array(position[order]))], names=names)
 
     parts = []
     for name in schema.searchable():
         kind = schema.fields[name]
-        terms = kind.terms(F.col(name))
-        rows = docs.where(F.col(name).isNotNull()).select(F.lit(name).alias("field"), key, (F.col(boost) if boost else F.lit(1.0)).cast("double").alias("doc_boost"), terms.alias("terms"), (kind.analyzer.boosts(F.col(name)) if kind.posting == "rich" else F.lit(None)).cast("array<double>").alias("boosts"))
-        postings = rows.mapInArrow(run, out_schema)
-        norm = F.coalesce(F.col("mean_boost") * F.lit(kind.boost), kind.sim().field_norm(F.col("n_tokens"), F.col("doc_boost") * F.lit(kind.boost)))
-        parts.append(postings.select("field", "term", key, "tf", norm.alias("norm"), "positions"))
+        doc_boost = (F.col(boost) if boost else F.lit(1.0)).cast("double") * F.lit(kind.boost)
+        rows = docs.where(F.col(name).isNotNull())
+        if kind.kind != "text" and kind.posting != "rich":
+            # A value is its one term.
+            found = rows.select(F.element_at(kind.terms(F.col(name)), 1).alias("term"), key, F.lit(1).alias("tf"), kind.sim().field_norm(F.lit(1), doc_boost).alias("norm"), F.array(F.lit(0)).alias("positions"))
+        else:
+            boosts = kind.analyzer.boosts(F.col(name)) if kind.posting == "rich" else F.lit(None)
+            rows = computed_once(rows.select(key, kind.terms(F.col(name)).alias("terms"), doc_boost.alias("doc_boost"), boosts.cast("array<double>").alias("boosts")))
+            rows = rows.select(key, "terms", kind.sim().field_norm(F.size("terms"), F.col("doc_boost")).alias("norm"), "boosts")
+            found = rows.mapInArrow(run, out_schema).withColumn("norm", F.coalesce(F.col("mean_boost") * F.lit(kind.boost), F.col("norm")))
+        parts.append(found.select(F.lit(name).alias("field"), "term", key, "tf", "norm", "positions"))
     return functools.reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], f"field string, term string, {key} {key_type.simpleString()}, tf int, norm double, positions array<int>")
 
 
@@ -403,10 +427,16 @@ def frequent(lexicon: DataFrame, partitions: int) -> DataFrame | None:
     A term is frequent if its postings exceed half of a partition's fair share, so there
     are less than twice as many of them as partitions: few enough to send around.
     """
-    total = lexicon.agg(F.sum("doc_freq")).first()[0] or 0
-    fair = max(total / partitions, 1.0)
-    found = lexicon.where(F.col("doc_freq") > fair / 2).select("field", "term", F.least(F.lit(partitions), F.ceil(2 * F.col("doc_freq") / fair)).cast("int").alias("shares"))
-    rows = found.collect() if partitions > 1 else []
+    if partitions <= 1:
+        return None
+    lexicon = lexicon.persist()
+    try:
+        total = lexicon.agg(F.sum("doc_freq")).first()[0] or 0
+        fair = max(total / partitions, 1.0)
+        found = lexicon.where(F.col("doc_freq") > fair / 2).select("field", "term", F.least(F.lit(partitions), F.ceil(2 * F.col("doc_freq") / fair)).cast("int").alias("shares"))
+        rows = found.collect()
+    finally:
+        lexicon.unpersist()
     return lexicon.sparkSession.createDataFrame(rows, "field string, term string, shares int") if rows else None
 
 
@@ -454,8 +484,8 @@ class Indexer:
         self._new += 1
         return f"g{self.generation:010d}-{self._new:04d}"
 
-    def _write(self, frame: DataFrame, part: str, segment: str, *by: str) -> None:
-        out = frame.write.mode("overwrite").partitionBy(*by) if by else frame.write.mode("overwrite")
+    def _write(self, frame: DataFrame, part: str, segment: str) -> None:
+        out = frame.write.mode("overwrite")
         if self.codec:
             out = out.option("compression", self.codec)
         out.parquet(f"{self.path}/{part}/seg={segment}")
@@ -474,8 +504,11 @@ class Indexer:
         if hot is not None:
             postings = postings.join(F.broadcast(hot), by, "left")
             by.append(F.coalesce(F.pmod(F.xxhash64(self.key), F.col("shares")), F.lit(0)))
-        clustered = postings.repartition(self._partitions(), *by).drop("shares").sortWithinPartitions("field", "term", self.key)
-        self._write(clustered, "postings", segment, "field")
+        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        for name in self.schema.searchable():
+            # Each field by itself: a sort that begins with the term compares its first bytes alone, as a rule.
+            clustered = postings.where(F.col("field") == name).repartition(self._partitions(), *by).drop("shares", "field").sortWithinPartitions("term", self.key)
+            self._write(clustered, "postings", f"{segment}/field={escaped(name)}")
         for name, frame in (extras or {}).items():
             self._write(frame, f"extra-{name}", segment)
         mine = self._view({segment: 0}, {})
