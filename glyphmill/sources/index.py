@@ -36,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -211,7 +212,8 @@ def token_slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def invert(docs: DataFrame, schema: Schema, key: str, boost: str | None = None) -> DataFrame:
     """Postings (field, term, key, tf, norm, positions) of every indexed field of ``docs``.
 
-    Python handles ``SLICE_TOKENS`` at a time, whatever the number and length of the texts in a batch.
+    Python handles ``SLICE_TOKENS`` at a time, whatever the number and length of the texts in a batch,
+    and sends each slice on in the order of its terms: the sort of a segment merges such runs.
     """
     key_type = docs.schema[key].dataType
     out_schema = T.StructType([T.StructField("term", T.StringType()), T.StructField(key, key_type), T.StructField("tf", T.IntegerType()), T.StructField("norm", T.DoubleType()), T.StructField("mean_boost", T.DoubleType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
@@ -227,19 +229,22 @@ def invert(docs: DataFrame, schema: Schema, key: str, boost: str | None = None)
         offsets = lists.offsets.to_numpy()
         lengths = np.diff(offsets)
         encoded = lists.flatten().dictionary_encode()
-        owner = np.repeat(np.arange(len(lengths)), lengths)
+        # By term; a stable sort keeps documents, and positions in each, in order.
+        alphabetic = pc.array_sort_indices(encoded.dictionary)
+        rank = np.empty(len(alphabetic), np.uint16 if len(alphabetic) <= 1 << 16 else np.int64)  # numpy sorts 16 bits by radix
+        rank[alphabetic.to_numpy()] = np.arange(len(alphabetic))
+        rank = rank[encoded.indices.to_numpy(zero_copy_only=False)]
+        order = np.argsort(rank, kind="stable")
+        owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         position = (np.arange(len(owner)) - (offsets[:-1] - offsets[0])[owner]).astype(np.int32)
-        # A document's terms; a stable sort keeps the positions of each in order.
-        runs = owner * max(len(encoded.dictionary), 1) + encoded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(runs, kind="stable")
-        runs = runs[order]
-        first = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else np.zeros(0, np.int64)
-        ends = np.append(first, len(runs)).astype(np.int32)
-        rows, tf = pa.array(owner[order[first]]), np.diff(ends)
+        rank, owner = rank[order], owner[order]
+        first = np.flatnonzero(np.append(True, (rank[1:] != rank[:-1]) | (owner[1:] != owner[:-1]))) if len(rank) else np.zeros(0, np.int64)
+        ends = np.append(first, len(rank)).astype(np.int32)
+        rows, tf = pa.array(owner[first]), np.diff(ends)
         boosts = batch.column("boosts").flatten().to_numpy(zero_copy_only=False)
         # Field by field all rows have boosts or none has.
         means = pa.array(np.add.reduceat(boosts[order], first) / tf) if len(boosts) else pa.nulls(len(first), pa.float64())
-        terms = encoded.dictionary.take(encoded.indices.take(pa.array(order[first])))
+        terms = encoded.dictionary.take(alphabetic.take(pa.array(rank[first])))
         return pa.RecordBatch.from_arrays([terms, batch.column(key).take(rows), pa.array(tf), batch.column("norm").take(rows), means, pa.ListArray.from_arrays(pa.array(ends), pa.array(position[order]))], names=names)
 
     parts = []
@@ -500,14 +505,14 @@ class Indexer:
         """
         self._write(docs, "docs", segment)
         hot = frequent(lexicon, self._partitions())
-        by = ["field", "term"]
+        by: list = ["term"]
         if hot is not None:
-            postings = postings.join(F.broadcast(hot), by, "left")
+            postings = postings.join(F.broadcast(hot), ["field", "term"], "left")
             by.append(F.coalesce(F.pmod(F.xxhash64(self.key), F.col("shares")), F.lit(0)))
         escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
         for name in self.schema.searchable():
             # Each field by itself: a sort that begins with the term compares its first bytes alone, as a rule.
-            clustered = postings.where(F.col("field") == name).repartition(self._partitions(), *by).drop("shares", "field").sortWithinPartitions("term", self.key)
+            clustered = postings.where(F.col("field") == name).drop("field").repartition(self._partitions(), *by).drop("shares").sortWithinPartitions("term", self.key)
             self._write(clustered, "postings", f"{segment}/field={escaped(name)}")
         for name, frame in (extras or {}).items():
             self._write(frame, f"extra-{name}", segment)

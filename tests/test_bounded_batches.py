@@ -40,6 +40,25 @@ def test_rich_boosts_by_slices(spark, monkeypatch):
     assert {(r.doc_id, r.term): r.norm for r in found} == {(1, "x"): 1.0, (1, "y"): 1.0, (3, "y"): 0.5, (3, "x"): 2.5}
 
 
+def test_slices_leave_by_term(spark, monkeypatch):
+    """Each slice is one run by term and document, in the order in which Spark compares strings."""
+    texts = ["b \U00010400 a b", None, "é \uffff a", "", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    schema = Schema().spec_field("text", full_text(Tokenizer(r"\S+")))
+    found = [(r.term, r.doc_id, r.positions) for r in index.invert(docs, schema, "doc_id").collect()]
+    assert found == [("a", 0, [2]), ("a", 2, [2]), ("a", 4, [0]), ("b", 0, [0, 3]), ("b", 4, [1]), ("é", 2, [0]), ("\uffff", 2, [1]), ("\U00010400", 0, [1])]
+    monkeypatch.setattr(index, "SLICE_TOKENS", 4)
+    assert [(r.term, r.doc_id) for r in index.invert(docs, schema, "doc_id").collect()][:4] == [("a", 0), ("b", 0), ("\U00010400", 0), ("a", 2)]
+
+
+def test_slices_of_many_terms(spark):
+    """More terms in a slice than 16 bits can number."""
+    words = [f"w{i}" for i in range(70_000)]
+    docs = spark.createDataFrame([(1, " ".join(words[::-1])), (2, " ".join(words))], "doc_id long, text string").coalesce(1)
+    found = index.invert(docs, Schema().spec_field("text", full_text(Tokenizer())), "doc_id").select("term", "doc_id", F.col("positions")[0].alias("p"), "tf").collect()
+    assert [tuple(r) for r in found] == [x for i, w in sorted(enumerate(words), key=lambda iw: iw[1]) for x in ((w, 1, 69_999 - i, 1), (w, 2, i, 1))]
+
+
 def test_fields_of_odd_names(spark, tmp_path):
     """Each field is written by itself, under a name that Spark's partition paths escape."""
     schema = Schema().spec_field("te xt:%=1", full_text(WORDS)).spec_field("kind", string())
